@@ -67,7 +67,7 @@ def _contains_any(col: Column, needles: list[str]) -> Column:
 
 
 def is_allowed_domain(url: Column, domains: list[str]) -> Column:
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
     return _contains_any(host, domains)
 
 

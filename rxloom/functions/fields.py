@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rxloom.functions.text import strip
+
 # --- fixed values -----------------------------------------------------------
 NODRUG_TAGS = ["supplement", "medical supplies", "cosmeceuticals", "medical equipment"]
 # (value, label, tags, keywords), in rule order
@@ -41,37 +43,37 @@ def _text(col: Column) -> Column:
 
 def first_filled(*cols: Column) -> Column:
     """First non-empty of several alias columns, trimmed; '' when all are empty."""
-    return F.trim(F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit("")))
+    return strip(F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit("")))
 
 
 def parse_icd(col: Column) -> Column:
     """`R51 - Name` -> struct(code='r51', name='Name'); anything else has code ''."""
-    v = F.trim(_text(col))
+    v = strip(_text(col))
     code = F.lower(F.regexp_extract(v, ICD_PATTERN, 1))
-    name = F.when(code != "", F.trim(F.regexp_extract(v, ICD_PATTERN, 2))).otherwise(v)
+    name = F.when(code != "", strip(F.regexp_extract(v, ICD_PATTERN, 2))).otherwise(v)
     return F.struct(code.alias("code"), name.alias("name"))
 
 
 def parse_secondary_disease(col: Column) -> Column:
     """Secondary disease as plain text or as a JSON object of `{ma, ten}` entries."""
-    v = F.trim(_text(col))
+    v = strip(_text(col))
     parsed = F.from_json(F.replace(v, F.lit('""'), F.lit('"')), "map<string,struct<ma:string,ten:string>>")
     entry = F.get(F.map_values(parsed), F.lit(0))
     plain = parse_icd(v)
     is_json = v.startswith("{") & v.endswith("}") & entry.isNotNull()
     code = (
         F.when(v == "{}", "")
-        .when(is_json, F.lower(F.trim(F.coalesce(entry["ma"], F.lit("")))))
+        .when(is_json, F.lower(strip(F.coalesce(entry["ma"], F.lit("")))))
         .otherwise(plain["code"])
     )
-    name = F.when(v == "{}", "").when(is_json, F.trim(F.coalesce(entry["ten"], F.lit("")))).otherwise(plain["name"])
+    name = F.when(v == "{}", "").when(is_json, strip(F.coalesce(entry["ten"], F.lit("")))).otherwise(plain["name"])
     return F.struct(code.alias("code"), name.alias("name"))
 
 
 def classification_tags(col: Column) -> Column:
     """Classification text -> tags completed by the expert rules, in rule order, without repeats."""
-    v = F.translate(F.trim(F.lower(_text(col))), "[]'\"{}", "")
-    parts = F.filter(F.transform(F.split(v, ","), F.trim), lambda p: p != "")
+    v = F.translate(strip(F.lower(_text(col))), "[]'\"{}", "")
+    parts = F.filter(F.transform(F.split(v, ","), strip), lambda p: p != "")
 
     def has(tag: str) -> Column:
         return F.array_contains(parts, tag)
@@ -101,10 +103,10 @@ def classify_labels(classification: Column, feedback: Column, fix_multi_tag: boo
     counts as valid; `fix_multi_tag` compares whole tags instead.
     """
     phan, tdv = F.lower(_text(classification)), F.lower(_text(feedback))
-    key = F.trim(F.translate(tdv, "{}\"'", ""))
+    key = strip(F.translate(tdv, "{}\"'", ""))
     joined = F.translate(F.concat_ws(",", phan, tdv), "{}\"'", "")
-    tags = F.transform(F.split(joined, ","), F.trim)
-    key_tags = F.transform(F.split(key, ","), F.trim)
+    tags = F.transform(F.split(joined, ","), strip)
+    key_tags = F.transform(F.split(key, ","), strip)
 
     def rule(row: tuple) -> Column:
         value, label, rule_tags, _ = row
@@ -141,11 +143,11 @@ def extract_role(col: Column) -> Column:
     raw = _text(col)
 
     def last_role(items: Column) -> Column:
-        cleaned = F.transform(items, lambda x: F.trim(F.translate(x, "{}", "")))
+        cleaned = F.transform(items, lambda x: strip(F.translate(x, "{}", "")))
         kept = F.filter(cleaned, lambda x: ~F.lower(x).isin(NON_ROLES))
         return F.get(F.reverse(kept), F.lit(0))
 
-    as_json = F.when(F.trim(raw).startswith("["), last_role(F.from_json(raw, "array<string>")))
+    as_json = F.when(strip(raw).startswith("["), last_role(F.from_json(raw, "array<string>")))
     as_text = last_role(F.split(F.translate(raw, "[]\"'", ""), ","))
     return F.coalesce(as_json, as_text, F.lit(""))
 
@@ -153,12 +155,12 @@ def extract_role(col: Column) -> Column:
 def valid_role(col: Column) -> Column:
     """Role of a raw value, or null when it says nothing about the role."""
     role = extract_role(col)
-    return F.when(~F.lower(F.trim(role)).isin(EMPTY_ROLES), role)
+    return F.when(~F.lower(strip(role)).isin(EMPTY_ROLES), role)
 
 
 def correct_mapping(role: Column, supplies_are_nodrug: bool = False) -> Column:
     """Role -> struct(category, validity, role). `medical supplies` counts as a drug unless told otherwise."""
-    low = F.lower(F.trim(_text(role)))
+    low = F.lower(strip(_text(role)))
     nodrug = NODRUG_ROLES + (["medical supplies"] if supplies_are_nodrug else [])
     category = F.when(low.isin(nodrug) & (_text(role) != ""), "nodrug").otherwise("drug")
     validity = (
@@ -173,7 +175,7 @@ def correct_mapping(role: Column, supplies_are_nodrug: bool = False) -> Column:
 
 def validate_output(category: Column, validity: Column, role: Column) -> Column:
     """Repair category/role pairs that contradict each other."""
-    low = F.lower(F.trim(_text(role)))
+    low = F.lower(strip(_text(role)))
     to_drug = low.isin(DRUG_ROLES) & (category != "drug")
     to_nodrug = low.isin(NODRUG_ROLES) & (category != "nodrug")
     return F.struct(
@@ -191,7 +193,7 @@ def drop_nan(col: Column) -> Column:
 def full_ingredient(ingredient: Column, strength: Column) -> Column:
     """Ingredient followed by its strength unless it already holds it."""
     ing, dose = _text(ingredient), _text(strength)
-    return F.when((dose != "") & ~ing.contains(dose), F.trim(F.concat_ws(" ", ing, dose))).otherwise(ing)
+    return F.when((dose != "") & ~ing.contains(dose), strip(F.concat_ws(" ", ing, dose))).otherwise(ing)
 
 
 def labelled_note(sep: str, *labelled: tuple[str, Column]) -> Column:
@@ -261,9 +263,9 @@ def response_payload(col: Column) -> Column:
     tagged = F.split_part(F.split_part(col, F.lit("```json"), F.lit(2)), block, F.lit(1))
     plain = F.split_part(col, block, F.lit(2))
     return (
-        F.when(F.trim(col).startswith("{"), col)
-        .when(col.contains("```json"), F.trim(tagged))
-        .when(col.contains("```"), F.trim(plain))
+        F.when(strip(col).startswith("{"), col)
+        .when(col.contains("```json"), strip(tagged))
+        .when(col.contains("```"), strip(plain))
     )
 
 

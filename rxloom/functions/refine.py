@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxloom.functions.text import fold_accents, title_case
 
@@ -33,11 +34,14 @@ KEY_TERMS = [
     "sot", "sot sau tiem chung", "dau dau", "dau rang", "dau hong", "dau co", "dau co bap",
     "dau khop", "dau bung", "dau nhuc", "cam lanh", "cum", "viem", "viem hong", "viem mui", "viem xoang",
 ]
+TRANSLITERATED = [
+    ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("þ", "th"), ("ð", "d"), ("ı", "i"),
+]
 BASIC_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 # ----------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """Full HTML entity table; batches arrive through Arrow."""
     return text.map(html.unescape, na_action="ignore")
@@ -80,7 +84,11 @@ def infer_category(col: Column) -> Column:
 
 
 def fold_text(col: Column) -> Column:
-    return F.trim(F.regexp_replace(fold_accents(F.coalesce(col, F.lit(""))), r"\s+", " "))
+    """ASCII rendering: accents folded, letters without a decomposition spelt out."""
+    s = fold_accents(F.coalesce(col, F.lit("")))
+    for letter, spelling in TRANSLITERATED:
+        s = F.replace(s, F.lit(letter), F.lit(spelling))
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
 def indication_section(col: Column, stop_patterns: list[str] = STOP_PATTERNS) -> Column:

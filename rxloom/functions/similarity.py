@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_sort(col: Column | str) -> Column:
@@ -55,7 +56,7 @@ def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(lcs_lengths(a.fillna("").tolist(), b.fillna("").tolist()), dtype="int32")
 

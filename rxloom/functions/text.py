@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -25,14 +26,29 @@ DOSE_PATTERN = rf"\d+(?:\.\d+)?\s*({DOSE_UNITS})"
 SEPARATOR_PATTERN = r"(?U)\+|/|,|\band\b|\bva\b"
 
 
+def strip(col: Column | str) -> Column:
+    """Trim white space of any kind, not only blanks."""
+    return F.btrim(col, F.lit(" \t\n\r\x0b\f\u00a0\u3000"))
+
+
 def _compat(ch: str) -> str:
     """Compatibility decomposition of one character without combining marks."""
     return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
 
 
+def _char_class(codes: list[int]) -> str:
+    """Regex class of sorted code points, written as ranges."""
+    ranges, start = [], codes[0]
+    for prev, cur in zip(codes, codes[1:] + [None]):
+        if cur != prev + 1:
+            ranges.append(f"\\x{{{start:x}}}-\\x{{{prev:x}}}")
+            start = cur
+    return "[" + "".join(ranges) + "]"
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str], str]:
-    """Rule-built tables: one-to-one source/target, one-to-many map, combining-mark class."""
+    """Rule-built tables: translate source and target, one-to-many map, class of rows that may need it."""
     source, target, many, marks = [], [], {}, []
     for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
@@ -41,41 +57,37 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
             continue
         if ch.lower() != ch or unicodedata.category(ch) in ("Cn", "Cs", "Co"):
             continue
-        folded = _compat(ch)
-        if folded == ch or not re.search(r"[ -~đ]", folded):
+        folded = _compat(ch).replace("đ", "d")
+        if not re.search("[ -~]", folded):
             continue
         if code > 0xFFFF or len(folded) != 1:
-            many[ch] = folded.replace("đ", "d")
+            many[ch] = folded
         else:
             source.append(ch)
             target.append(folded)
-    source.append("đ")
-    target.append("d")
-    ranges, start = [], marks[0]
-    for prev, cur in zip(marks, marks[1:] + [None]):
-        if cur != prev + 1:
-            ranges.append(f"\\x{{{start:x}}}-\\x{{{prev:x}}}")
-            start = cur
-    return "".join(source), "".join(target), many, "[" + "".join(ranges) + "]"
+    # translate() deletes the source characters that have no partner, so the marks go last
+    high = [c for c in map(ord, many) if c >= 0x2000]
+    many_class = _char_class(sorted(c for c in map(ord, many) if c < 0x2000) + list(range(min(high), max(high) + 1)))
+    return "".join(source) + "đ" + "".join(map(chr, marks)), "".join(target) + "d", many, many_class
 
 
 def fold_accents(col: Column) -> Column:
     """Lower-case and reduce accented or compatibility letters to their base letters.
 
-    The one-to-many expansions (ligatures, unit signs such as U+338E) run only on
-    rows that hold a character above U+00FF which the plain table does not cover.
+    Plain ASCII rows skip all tables. One-to-many expansions (ligatures, unit signs such
+    as U+338E) run only on rows that may hold such a character.
     """
-    source, target, many, marks = _fold_tables()
-    low = F.regexp_replace(F.translate(F.lower(col), source, target), marks, "")
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    source, target, many, many_class = _fold_tables()
+    low = F.lower(col)
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     expanded = F.array_join(
         F.transform(
-            F.split(low, ""),
-            lambda ch: F.when(ch >= F.lit("\u0080"), F.coalesce(table[ch], ch)).otherwise(ch),
+            F.split(low, ""), lambda ch: F.when(ch.rlike(many_class), F.coalesce(table[ch], ch)).otherwise(ch)
         ),
         "",
     )
-    return F.when(low.rlike(r"[^\x00-\x7f]"), expanded).otherwise(low)
+    whole = F.when(low.rlike(many_class), expanded).otherwise(low)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(whole, source, target)).otherwise(low)
 
 
 def normalize_for_matching(col: Column, variant: str = "kb") -> Column:
@@ -112,7 +124,7 @@ def normalize_drug_name(col: Column, variant: str = "kb") -> Column:
     """`a 16mg/b 12.5mg` -> `A 16mg + B 12.5mg`; null without an active or a dose."""
     s = F.regexp_replace(F.lower(col), r"\s+", " ")
     doses = F.transform(F.regexp_extract_all(s, F.lit(DOSE_PATTERN), F.lit(0)), normalize_dose)
-    parts = F.transform(F.split(F.regexp_replace(s, DOSE_PATTERN, " "), SEPARATOR_PATTERN), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(s, DOSE_PATTERN, " "), SEPARATOR_PATTERN), strip)
     actives = F.filter(parts, lambda p: (F.length(p) >= 2) & p.rlike("[a-z]"))
     shape = normalize_name if variant == "kb" else title_case
     named = F.transform(
@@ -127,7 +139,7 @@ def normalize_for_search(col: Column, allowed: str = "") -> Column:
     if not allowed:
         return F.lit("")
     char_class = "".join(re.escape(c) for c in allowed)
-    return F.trim(F.regexp_extract(F.coalesce(col, F.lit("")), f"^[{char_class}]*", 0))
+    return strip(F.regexp_extract(F.coalesce(col, F.lit("")), f"^[{char_class}]*", 0))
 
 
 def _squeeze(col: Column) -> Column:
@@ -161,7 +173,7 @@ def search_text(*cols: Column, recipe: str = "normalised") -> Column:
 
 def query_variants(col: Column) -> Column:
     """Search variants in priority order: raw, normalised, normalised minus a digit-bearing last token."""
-    raw = F.trim(col)
+    raw = strip(col)
     norm = normalize_for_matching(col)
     head = F.regexp_extract(norm, r"^(.*) ([^ ]*\d[^ ]*)$", 1)
     return F.filter(
