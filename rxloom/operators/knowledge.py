@@ -73,29 +73,30 @@ def prepare_log(log: DataFrame, batch_id: Column, strict: bool = False) -> DataF
     })
 
 
-def fold_log(rows: DataFrame, now: Column, keep_nonempty: bool = False, latest: list[str] | None = None) -> DataFrame:
+def fold_log(rows: DataFrame, now: Column, keep_nonempty: bool = False, from_last: tuple[str, ...] = (),
+             from_first: tuple[str, ...] = ()) -> DataFrame:
     """One knowledge-base row per (drug_name_norm, disease_icd).
 
     The first row supplies the descriptive columns, the latest row the classification
     columns, the last non-empty value symptom and reason. All aggregates combine on the
     map side, so a hot key costs one partial row per task. `keep_nonempty` ignores empty
-    classifications when looking for the latest one.
+    classifications when looking for the latest one; `from_last` and `from_first` move
+    columns away from their usual rule.
     """
     refs = {c: F.lit(None).cast("string") for c in ("disease_ref_id", "secondary_disease_ref_id") if c not in rows.columns}
     if "drug_ref_id" not in rows.columns:
         refs["drug_ref_id"] = F.lit(None).cast("bigint")
     rows = rows.withColumns(refs) if refs else rows
-    latest = latest or []
     pos = F.col("pos")
     aggs = [F.count("*").alias("frequency")]
-    aggs += [(F.max_by(c, pos) if c in latest else F.min_by(c, pos)).alias(c) for c in FIRST_COLUMNS]
-    ref_order = pos if "drug_ref_id" in latest else F.when(F.col("drug_ref_id").isNotNull(), pos)
+    aggs += [(F.max_by(c, pos) if c in from_last else F.min_by(c, pos)).alias(c) for c in FIRST_COLUMNS]
+    ref_order = pos if "drug_ref_id" in from_last else F.when(F.col("drug_ref_id").isNotNull(), pos)
     aggs.append(F.max_by("drug_ref_id", ref_order).alias("drug_ref_id"))
     for c in LATEST_COLUMNS:
         order = F.when(F.col(c) != "[]", pos) if keep_nonempty else pos
         aggs.append(F.coalesce(F.max_by(c, order), F.lit("[]")).alias(c))
     for c in FILLED_COLUMNS:
-        value = F.min_by(c, pos) if c in latest else F.coalesce(F.max_by(c, F.when(F.col(c) != "", pos)), F.lit(""))
+        value = F.min_by(c, pos) if c in from_first else F.coalesce(F.max_by(c, F.when(F.col(c) != "", pos)), F.lit(""))
         aggs.append(value.alias(c))
     return rows.groupBy(*KEY).agg(*aggs).withColumn("last_updated", now)
 
@@ -127,7 +128,9 @@ def restore_kb(kb: DataFrame, log: DataFrame, drugs: DataFrame, diseases: DataFr
     rows = lookup_drug_ref_exact(rows, "drug_name", drugs)
     rows = lookup_disease_ref(rows, diseases, "disease_icd", "disease_ref_id")
     rows = lookup_disease_ref(rows, diseases, "secondary_disease_icd", "secondary_disease_ref_id")
-    fold = fold_log(rows, now, latest=["drug_ref_id", "disease_ref_id", "symptom", "prescription_reason"]).alias("n")
+    fold = fold_log(
+        rows, now, from_last=("drug_ref_id", "disease_ref_id"), from_first=("symptom", "prescription_reason")
+    ).alias("n")
     old = kb.alias("o")
     on = (F.col("o.drug_name_norm") == F.col("n.drug_name_norm")) & (F.col("o.disease_icd") == F.col("n.disease_icd"))
     hit, known = F.col("n.drug_name_norm").isNotNull(), F.col("o.drug_name_norm").isNotNull()

@@ -271,3 +271,102 @@ REQUEST_LOGS = """request_logs AS (
     CASE WHEN event_type = 'error' THEN 500 WHEN k % 10 = 0 THEN 404 ELSE 200 END AS status_code,
     value AS latency_ms, k % 5 AS matched_count, k % 3 AS unmatched_count, user_id, k
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
+
+
+# --- diseases and knowledge base -------------------------------------------
+
+def diseases(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(
+        F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("id"),
+        F.concat(F.char(65 + F.col("n_nationkey") % 6), F.expr("1 + n_nationkey div 6").cast("string")).alias("icd_code"),
+        F.col("n_name").alias("disease_name"),
+        F.col("r_name").alias("chapter_name"),
+        F.lower("n_name").alias("slug"),
+        F.lit("active").alias("is_active"),
+    )
+
+
+DISEASES = """diseases AS (
+  SELECT 'd' || n_nationkey AS id, chr((65 + n_nationkey % 6)::INT) || (1 + n_nationkey // 6) AS icd_code,
+    n_name AS disease_name, r_name AS chapter_name, lower(n_name) AS slug, 'active' AS is_active
+  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+NOW = "2024-06-01 00:00:00"
+
+
+def now():
+    return F.to_timestamp(F.lit(NOW))
+
+
+def prepared_log(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
+    """Parsed log rows with disease references; the batch is the order number modulo 5.
+
+    `part` 0 or 1 keeps even or odd orders, to play an old table against a new batch.
+    """
+    from rxloom.operators.knowledge import lookup_disease_ref, prepare_log
+
+    log = rx_log(spark, sf)
+    if part is not None:
+        log = log.where(F.col("order_id") % 2 == part)
+    rows = prepare_log(log, F.concat(F.lit("b"), (F.col("order_id") % 5).cast("string")))
+    refs = diseases(spark, sf)
+    rows = lookup_disease_ref(rows, refs, "disease_icd", "disease_ref_id")
+    return lookup_disease_ref(rows, refs, "secondary_disease_icd", "secondary_disease_ref_id")
+
+
+def kb(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
+    from rxloom.operators.knowledge import fold_log
+
+    return fold_log(prepared_log(spark, sf, part), now())
+
+
+def sql_icd(col: str) -> tuple[str, str]:
+    pattern = r"(?i)^([A-Z]\d+(?:\.\d+)?)\s*-\s*(.+)$"
+    code = f"lower(regexp_extract(trim({col}), '{pattern}', 1))"
+    return code, f"CASE WHEN {code} <> '' THEN trim(regexp_extract(trim({col}), '{pattern}', 2)) ELSE trim({col}) END"
+
+
+def sql_secondary(col: str) -> tuple[str, str]:
+    code, name = sql_icd(col)
+    js = f"replace({col}, '\"\"', '\"')"
+    entry = f"json_extract({js}, '$.' || json_keys({js})[1])"
+    return (
+        f"CASE WHEN {col} LIKE '{{%}}' THEN lower(trim(json_extract_string({entry}, '$.ma'))) ELSE {code} END",
+        f"CASE WHEN {col} LIKE '{{%}}' THEN trim(json_extract_string({entry}, '$.ten')) ELSE {name} END",
+    )
+
+
+PREPARED = f"""parsed_log AS (
+  SELECT pos, order_id, trim(drug_name) AS drug_name, {sql_norm('drug_name')} AS drug_name_norm,
+    {sql_icd('primary_disease')[0]} AS disease_icd, {sql_icd('primary_disease')[1]} AS disease_name,
+    {sql_secondary('secondary_disease')[0]} AS secondary_disease_icd,
+    {sql_secondary('secondary_disease')[1]} AS secondary_disease_name,
+    {sql_json(sql_tags('classification'))} AS treatment_type, {sql_json(sql_tags('feedback'))} AS tdv_feedback,
+    symptom, reason AS prescription_reason, 'b' || (order_id % 5) AS batch_id
+  FROM rx_log WHERE trim(drug_name) <> '' AND trim(primary_disease) <> ''),
+prepared AS (
+  SELECT p.*, {sql_norm('p.disease_name')} AS disease_name_norm,
+    {sql_norm('p.secondary_disease_name')} AS secondary_disease_name_norm,
+    a.id AS disease_ref_id, b.id AS secondary_disease_ref_id
+  FROM parsed_log p LEFT JOIN diseases a ON lower(a.icd_code) = p.disease_icd
+    LEFT JOIN diseases b ON lower(b.icd_code) = p.secondary_disease_icd)"""
+
+KB_FIRST = ["drug_name", "disease_name", "disease_name_norm", "disease_ref_id", "secondary_disease_icd",
+            "secondary_disease_name", "secondary_disease_name_norm", "secondary_disease_ref_id", "batch_id"]
+
+
+def sql_fold(name: str, source: str = "prepared") -> str:
+    """fold_log in SQL."""
+    first = ", ".join(f"arg_min_null({c}, pos) AS {c}" for c in KB_FIRST)
+    return f"""{name} AS (
+  SELECT drug_name_norm, disease_icd, count(*) AS frequency, {first}, NULL::BIGINT AS drug_ref_id,
+    arg_max(treatment_type, pos) AS treatment_type, arg_max(tdv_feedback, pos) AS tdv_feedback,
+    coalesce(arg_max(symptom, pos) FILTER (symptom <> ''), '') AS symptom,
+    coalesce(arg_max(prescription_reason, pos) FILTER (prescription_reason <> ''), '') AS prescription_reason,
+    TIMESTAMP '{NOW}' AS last_updated
+  FROM {source} GROUP BY drug_name_norm, disease_icd)"""
+
+
+KB = sql_fold("kb")
+KB_CTES = (RX_LOG, DISEASES, PREPARED, KB)

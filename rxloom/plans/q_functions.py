@@ -75,27 +75,9 @@ def name_keywords(spark, sf):
     return _part(spark, sf, PACKED).select("id", F.array_join(text.extract_keywords(F.col("raw")), "|").alias("words"))
 
 
-SQL_ICD = r"regexp_extract(trim({0}), '(?i)^([A-Z]\d+(?:\.\d+)?)\s*-\s*(.+)$', {1})"
-
-
-def sql_icd(col: str) -> tuple[str, str]:
-    code = f"lower({SQL_ICD.format(col, 1)})"
-    return code, f"CASE WHEN {code} <> '' THEN trim({SQL_ICD.format(col, 2)}) ELSE trim({col}) END"
-
-
-def sql_secondary(col: str) -> tuple[str, str]:
-    code, name = sql_icd(col)
-    js = f"replace({col}, '\"\"', '\"')"
-    entry = f"json_extract({js}, '$.' || json_keys({js})[1])"
-    return (
-        f"CASE WHEN {col} LIKE '{{%}}' THEN lower(trim(json_extract_string({entry}, '$.ma'))) ELSE {code} END",
-        f"CASE WHEN {col} LIKE '{{%}}' THEN trim(json_extract_string({entry}, '$.ten')) ELSE {name} END",
-    )
-
-
 @query("disease_fields", "F8 F9", d.ctes(d.RX_LOG) + f"""
-SELECT pos, {sql_icd('primary_disease')[0]} AS icd, {sql_icd('primary_disease')[1]} AS disease,
-  {sql_secondary('secondary_disease')[0]} AS second_icd, {sql_secondary('secondary_disease')[1]} AS second_disease
+SELECT pos, {d.sql_icd('primary_disease')[0]} AS icd, {d.sql_icd('primary_disease')[1]} AS disease,
+  {d.sql_secondary('secondary_disease')[0]} AS second_icd, {d.sql_secondary('secondary_disease')[1]} AS second_disease
 FROM rx_log""")
 def disease_fields(spark, sf):
     first, second = fields.parse_icd(F.col("primary_disease")), fields.parse_secondary_disease(F.col("secondary_disease"))
