@@ -127,4 +127,4 @@ def refine_catalogue(drugs: DataFrame) -> DataFrame:
         "_name": name, "nhom_duoc_ly": infer_category(F.col("hoat_chat")), "chi_dinh": clean_html(F.col("chi_dinh")),
     })
     refined = refined.withColumns({"ten_thuoc": F.col("_name.name"), "quy_cach": F.col("_name.packaging")}).drop("_name")
-    return refined.withColumn("search_text", search_text(F.col("ten_thuoc"), F.col("hoat_chat"), F.col("nhom_duoc_ly")))
+    return refined.withColumn("search_text", search_text(F.col("ten_thuoc"), F.col("hoat_chat"), F.col("so_dang_ky")))

@@ -40,6 +40,26 @@ def lookup_drug_ref_exact(rows: DataFrame, name: str, drugs: DataFrame) -> DataF
     return rows.join(refs, F.lower(strip(F.col(name))) == F.col("_q"), "left").drop("_q")
 
 
+def compact_log(log: DataFrame, batch_id: Column) -> DataFrame:
+    """Fold log rows per raw (drug, primary disease) spelling before anything is parsed.
+
+    Parsing then runs once per distinct spelling instead of once per row, and the map
+    side of this aggregate carries most of the reduction.
+    """
+    pos = F.col("pos")
+    said = {c: F.when(strip(F.col(c)) != "", pos) for c in ("symptom", "reason")}
+    first, last = F.struct("secondary_disease", batch_id.alias("batch_id")), F.struct("classification", "feedback")
+    folded = log.where(~is_bad_row()).groupBy("drug_name", "primary_disease").agg(
+        F.count("*").alias("frequency"), F.min("pos").alias("pos"), F.max("pos").alias("last_pos"),
+        F.min_by(first, pos).alias("f"), F.max_by(last, pos).alias("l"),
+        F.coalesce(F.max_by("symptom", said["symptom"]), F.lit("")).alias("symptom"),
+        F.max(said["symptom"]).alias("symptom_pos"),
+        F.coalesce(F.max_by("reason", said["reason"]), F.lit("")).alias("reason"),
+        F.max(said["reason"]).alias("prescription_reason_pos"),
+    )
+    return folded.select("*", "f.*", "l.*").drop("f", "l")
+
+
 def prepare_log(log: DataFrame, batch_id: Column, strict: bool = False) -> DataFrame:
     """Good log rows with parsed and normalised fields; `pos` is the input order.
 
@@ -62,6 +82,7 @@ def prepare_log(log: DataFrame, batch_id: Column, strict: bool = False) -> DataF
         strip("symptom").alias("symptom"),
         strip("reason").alias("prescription_reason"),
         batch_id.alias("batch_id"),
+        *[c for c in ("frequency", "last_pos", "symptom_pos", "prescription_reason_pos") if c in log.columns],
     )
     if strict:
         rows = rows.where("disease_icd != ''")
@@ -87,16 +108,19 @@ def fold_log(rows: DataFrame, now: Column, keep_nonempty: bool = False, from_las
     if "drug_ref_id" not in rows.columns:
         refs["drug_ref_id"] = F.lit(None).cast("bigint")
     rows = rows.withColumns(refs) if refs else rows
+    compacted = "frequency" in rows.columns
     pos = F.col("pos")
-    aggs = [F.count("*").alias("frequency")]
-    aggs += [(F.max_by(c, pos) if c in from_last else F.min_by(c, pos)).alias(c) for c in FIRST_COLUMNS]
-    ref_order = pos if "drug_ref_id" in from_last else F.when(F.col("drug_ref_id").isNotNull(), pos)
+    last_pos = F.col("last_pos") if compacted else pos
+    aggs = [F.sum("frequency").alias("frequency") if compacted else F.count("*").alias("frequency")]
+    aggs += [(F.max_by(c, last_pos) if c in from_last else F.min_by(c, pos)).alias(c) for c in FIRST_COLUMNS]
+    ref_order = last_pos if "drug_ref_id" in from_last else F.when(F.col("drug_ref_id").isNotNull(), last_pos)
     aggs.append(F.max_by("drug_ref_id", ref_order).alias("drug_ref_id"))
     for c in LATEST_COLUMNS:
-        order = F.when(F.col(c) != "[]", pos) if keep_nonempty else pos
+        order = F.when(F.col(c) != "[]", last_pos) if keep_nonempty else last_pos
         aggs.append(F.coalesce(F.max_by(c, order), F.lit("[]")).alias(c))
     for c in FILLED_COLUMNS:
-        value = F.min_by(c, pos) if c in from_first else F.coalesce(F.max_by(c, F.when(F.col(c) != "", pos)), F.lit(""))
+        said = F.col(f"{c}_pos") if compacted else F.when(F.col(c) != "", pos)
+        value = F.min_by(c, pos) if c in from_first else F.coalesce(F.max_by(c, said), F.lit(""))
         aggs.append(value.alias(c))
     return rows.groupBy(*KEY).agg(*aggs).withColumn("last_updated", now)
 
@@ -143,13 +167,30 @@ def restore_kb(kb: DataFrame, log: DataFrame, drugs: DataFrame, diseases: DataFr
     return old.join(fold, on, "full").select(*out)
 
 
+def build_kb(log: DataFrame, diseases: DataFrame, batch_id: Column, now: Column, matches: DataFrame | None = None) -> DataFrame:
+    """Knowledge-base rows of a log: compact, parse, attach references, fold.
+
+    `matches` is an optional name-matching result that supplies drug_ref_id.
+    """
+    rows = prepare_log(compact_log(log, batch_id), F.col("batch_id"))
+    rows = lookup_disease_ref(rows, diseases, "disease_icd", "disease_ref_id")
+    rows = lookup_disease_ref(rows, diseases, "secondary_disease_icd", "secondary_disease_ref_id")
+    if matches is not None:
+        rows = lookup_drug_ref(rows, "drug_name", matches)
+    return fold_log(rows, now)
+
+
 def batch_stats(log: DataFrame, rows: DataFrame, kb: DataFrame) -> DataFrame:
     """One row: total, errors, inserted, updated, drugs_matched, diseases_matched."""
+    weight = F.col("frequency") if "frequency" in rows.columns else F.lit(1)
     fold = rows.groupBy(*KEY).agg(F.count("*").alias("n"))
     new_keys = fold.join(kb.select(*KEY), KEY, "left_anti").agg(F.count("*")).scalar()
-    matched = lambda c: F.count(c) if c in rows.columns else F.lit(0)
+
+    def matched(c: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(c).isNotNull(), weight)), F.lit(0)) if c in rows.columns else F.lit(0)
+
     good = rows.agg(
-        F.count("*").alias("good"), matched("drug_ref_id").alias("drugs_matched"),
+        F.coalesce(F.sum(weight), F.lit(0)).alias("good"), matched("drug_ref_id").alias("drugs_matched"),
         matched("disease_ref_id").alias("diseases_matched"),
     )
     total = log.agg(F.count("*")).scalar()

@@ -299,26 +299,30 @@ def now():
     return F.to_timestamp(F.lit(NOW))
 
 
-def prepared_log(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
-    """Parsed log rows with disease references; the batch is the order number modulo 5.
+def batch_id():
+    return F.concat(F.lit("b"), (F.col("order_id") % 5).cast("string"))
 
-    `part` 0 or 1 keeps even or odd orders, to play an old table against a new batch.
-    """
-    from rxloom.operators.knowledge import lookup_disease_ref, prepare_log
 
+def rx_half(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
+    """The log, or its even (0) or odd (1) orders, to play an old table against a new batch."""
     log = rx_log(spark, sf)
-    if part is not None:
-        log = log.where(F.col("order_id") % 2 == part)
-    rows = prepare_log(log, F.concat(F.lit("b"), (F.col("order_id") % 5).cast("string")))
+    return log if part is None else log.where(F.col("order_id") % 2 == part)
+
+
+def prepared_log(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
+    """Parsed log rows with disease references; the batch is the order number modulo 5."""
+    from rxloom.operators.knowledge import lookup_disease_ref, prepare_log
+
+    rows = prepare_log(rx_half(spark, sf, part), batch_id())
     refs = diseases(spark, sf)
     rows = lookup_disease_ref(rows, refs, "disease_icd", "disease_ref_id")
     return lookup_disease_ref(rows, refs, "secondary_disease_icd", "secondary_disease_ref_id")
 
 
 def kb(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
-    from rxloom.operators.knowledge import fold_log
+    from rxloom.operators.knowledge import build_kb
 
-    return fold_log(prepared_log(spark, sf, part), now())
+    return build_kb(rx_half(spark, sf, part), diseases(spark, sf), batch_id(), now())
 
 
 def sql_icd(col: str) -> tuple[str, str]:
