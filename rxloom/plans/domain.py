@@ -9,12 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rxloom.functions.text import normalize_for_matching
+from rxloom.session import spread
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """Read a driver table; its schema is inferred once per path. `heavy` spreads under-split files."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spread(df) if heavy else df
 
 
 def ctes(*parts: str) -> str:
@@ -139,8 +149,8 @@ SQL_POS = (
 
 def rx_log(spark: SparkSession, sf: str) -> DataFrame:
     """Prescription log rows in the shape of the long-header CSV, plus an input position."""
-    li = table(spark, sf, "lineitem")
-    pa = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    li = spread(table(spark, sf, "lineitem").drop("l_shipdate", "l_tax", "l_extendedprice", "l_linestatus"))
+    pa = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
     od = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     rows = li.join(pa, li.l_partkey == pa.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
     k = F.col("l_linenumber") % 7
@@ -210,7 +220,7 @@ def sql_json(list_expr: str) -> str:
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """One claim line per lineitem row; the order is the request."""
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem", heavy=True)
     pa = table(spark, sf, "part").select("p_partkey", "p_name")
     return li.join(pa, li.l_partkey == pa.p_partkey).select(
         F.col("l_orderkey").alias("request_id"),
@@ -229,7 +239,7 @@ CLAIMS = f"""claims AS (
 
 def purchases(spark: SparkSession, sf: str) -> DataFrame:
     """Purchases are the finished lines; even lines carry a misspelt name and a changed price."""
-    li = table(spark, sf, "lineitem").where(F.col("l_linestatus") == "F")
+    li = table(spark, sf, "lineitem", heavy=True).where(F.col("l_linestatus") == "F")
     pa = table(spark, sf, "part").select("p_partkey", "p_name")
     even = F.col("l_linenumber") % 2 == 0
     return li.join(pa, li.l_partkey == pa.p_partkey).select(

@@ -24,7 +24,7 @@ SELECT doc_id, md5({d.sql_norm('text')}) AS kb_key, md5({d.sql_norm('text', 'cla
        length({d.sql_norm('text')}) AS n FROM documents""")
 def normalize_documents(spark, sf):
     kb = text.normalize_text(F.col("text"))
-    return d.table(spark, sf, "documents").select(
+    return d.table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.md5(kb).alias("kb_key"),
         F.md5(text.normalize_for_matching(F.col("text"), "claims")).alias("claims_key"), F.length(kb).alias("n"))
 
@@ -51,7 +51,7 @@ def compound_names(spark, sf):
 @query("search_prefix", "F5", """
 SELECT doc_id, trim(regexp_extract(text, '^[a-zA-Z ]*')) AS prefix FROM documents""")
 def search_prefix(spark, sf):
-    return d.table(spark, sf, "documents").select(
+    return d.table(spark, sf, "documents", heavy=True).select(
         "doc_id", text.normalize_for_search(F.col("text"), LATIN).alias("prefix"))
 
 
@@ -161,7 +161,7 @@ SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(
   regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
   '\s+', ' ', 'g'))) AS body FROM pages""")
 def html_text(spark, sf):
-    return d.table(spark, sf, "pages").select("page_id", F.md5(refine.clean_html(F.col("html"))).alias("body"))
+    return d.table(spark, sf, "pages", heavy=True).select("page_id", F.md5(refine.clean_html(F.col("html"))).alias("body"))
 
 
 BOXED = "CASE p_size % 4 WHEN 0 THEN p_name || ' (hộp ' || p_size || ' vỉ) -' WHEN 1 THEN p_name || ' (Box of ' || p_size || ')' WHEN 2 THEN p_name || ' ' || p_size || 'mg strong' ELSE p_name END"
@@ -203,7 +203,7 @@ SQL_FOLDED = r"trim(regexp_replace(replace(replace(strip_accents(lower(text)), '
        + ", ".join(rf"CASE WHEN regexp_matches(section, '\b{t}\b') THEN '{t}' END" for t in sorted(DOC_TERMS))
        + "], lambda x: x IS NOT NULL), ', ') AS terms FROM c")
 def indication_summary(spark, sf):
-    rows = d.table(spark, sf, "documents").select("doc_id", refine.indication_section(F.col("text"), DOC_STOPS).alias("section"))
+    rows = d.table(spark, sf, "documents", heavy=True).select("doc_id", refine.indication_section(F.col("text"), DOC_STOPS).alias("section"))
     return rows.select("doc_id", F.md5("section").alias("section"), refine.indication_terms(F.col("section"), DOC_TERMS).alias("terms"))
 
 
@@ -254,7 +254,7 @@ def url_rules(spark, sf):
 
 
 def _urls(spark, sf):
-    return d.table(spark, sf, "pages").selectExpr(
+    return d.table(spark, sf, "pages", heavy=True).selectExpr(
         "page_id", URLS[URLS.index("CASE"):URLS.index(" AS url")] + " AS url", "html")
 
 
@@ -265,7 +265,7 @@ k AS (SELECT *, list_filter(regexp_split_to_array(keyword, '[\s\-\(\)mg]+'), lam
 SELECT page_id, (len(tokens) = 0 OR len(list_filter(tokens, lambda x: contains(lower(title), lower(x)) OR contains(lower(url), lower(x)))) > 0)::INT AS relevant
 FROM k""")
 def page_relevance(spark, sf):
-    rows = d.table(spark, sf, "pages").select(
+    rows = d.table(spark, sf, "pages", heavy=True).select(
         "page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.when(F.col("page_id") % 3 == 0, "the-mg (xx)").otherwise("Que (des)").alias("keyword"))
     return rows.select("page_id", extract.is_relevant_page(F.col("keyword"), F.col("title"), F.col("url")).cast("int").alias("relevant"))
@@ -379,7 +379,7 @@ def logged_counts(spark, sf):
     rows = d.table(spark, sf, "events").selectExpr(
         "event_id", f"{LOGGED} AS body",
         "CASE event_id % 3 WHEN 0 THEN '/api/v1/consult_integrated' ELSE '/api/v1/mapping/match' END AS endpoint")
-    rows = rows.join(d.table(spark, sf, "pages"), F.col("event_id") == F.col("page_id"))
+    rows = rows.join(d.table(spark, sf, "pages", heavy=True), F.col("event_id") == F.col("page_id"))
     c = fields.logged_counts(F.col("endpoint"), F.col("body"))
     return rows.select("event_id", c["matched_count"].alias("matched_count"), c["unmatched_count"].alias("unmatched_count"),
                        F.length(fields.stored_body(F.col("html"))).alias("body_length"))

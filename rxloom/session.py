@@ -60,3 +60,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, unit: int = 1 << 20) -> DataFrame:
+    """Spread an input of few splits over the cores before work that is heavy per row.
+
+    A file with one row group is one task however many cores there are. Inputs that
+    already give every core a split, and tiny ones, pass through unchanged.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(cores, size // unit)
+    enough = size >= cores * (32 << 20)
+    return df if enough or parts < 2 else df.repartition(parts)
