@@ -37,7 +37,7 @@ def main():
     for path in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
-                          spark__ui__enabled="false")
+                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     bad = []
     for name, q in load_all().items():

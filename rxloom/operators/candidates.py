@@ -47,40 +47,37 @@ def _grams(text: Column, q: int) -> Column:
     ).otherwise(F.array().cast("array<struct<gram:string,pos:int>>"))
 
 
-def _prefix(text: Column, q: int, t: float, freq: Column) -> Column:
-    """Rarest grams that must hold one shared gram; position kept for the alignment filter."""
-    m = F.length(text)
+def _shared(m: Column, q: int, t: float) -> Column:
+    """Lower bound on aligned q-grams shared with the shortest partner of a string of length m."""
     per_char = (t / 2 - (q - 1) * (1 - t)) * 2.0 / (2.0 - t)
-    shared = F.greatest(F.lit(1), F.ceil(m * per_char - (q - 1) - _EPS).cast("int"))
-    ranked = F.array_sort(
-        F.transform(
-            _grams(text, q),
-            lambda g: F.struct(
-                F.coalesce(freq[g["gram"]], F.lit(0)).alias("n"), g["gram"].alias("gram"), g["pos"].alias("pos")
-            ),
-        )
-    )
-    last = F.get(ranked, m - q + 1 - shared)
-    return F.filter(
-        ranked, lambda g: (g["n"] < last["n"]) | ((g["n"] == last["n"]) & (g["gram"] <= last["gram"]))
-    )
+    return F.greatest(F.lit(1), F.ceil(m * per_char - (q - 1) - _EPS).cast("int"))
 
 
 def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, freq: DataFrame) -> DataFrame:
+    """One row per prefix gram: the rarest grams of a string, among which a shared one must be."""
     m2 = _bigram_min_length(t)
-    col, m = F.col(text), F.length(text)
-    empty = F.array().cast("array<struct<n:bigint,gram:string,pos:int>>")
-    fm = F.col("_freq")
-    two = F.when(m >= m2, _prefix(col, 2, t, fm)).otherwise(empty) if m2 else empty
+    m = F.length(text)
     # single characters are needed only by strings that a short partner can reach
-    reach = (m * (t / (2 - t)) < m2) if m2 else F.lit(True)
-    one = F.when(reach, _prefix(col, 1, t, fm)).otherwise(empty)
-    return (
-        df.where(m > 0)
-        .withColumn("_freq", freq.scalar())
-        .select(*keys, text, F.explode(F.concat(two, one)).alias("_g"))
-        .select(*keys, text, F.col("_g.gram").alias("gram"), F.col("_g.pos").alias("pos"))
-    )
+    classes = [(1, (m * (t / (2 - t)) < m2) if m2 else F.lit(True))] + ([(2, m >= m2)] if m2 else [])
+    rows = df.where(m > 0).select(*keys, text).withColumn("_freq", freq.scalar())
+    # separate projections: each array is built once per row, not once per use
+    rows = rows.withColumns({
+        f"_g{q}": F.when(used, F.array_sort(F.transform(
+            _grams(F.col(text), q),
+            lambda g: F.struct(F.coalesce(F.col("_freq")[g["gram"]], F.lit(0)).alias("n"), g["gram"].alias("gram"),
+                               g["pos"].alias("pos")))))
+        for q, used in classes
+    }).drop("_freq")
+    rows = rows.withColumns({f"_last{q}": F.get(f"_g{q}", m - q + 1 - _shared(m, q, t)) for q, _ in classes})
+
+    def prefix(q: int) -> Column:
+        last = F.struct(F.col(f"_last{q}.n"), F.col(f"_last{q}.gram"))
+        kept = F.filter(f"_g{q}", lambda g: F.struct(g["n"], g["gram"]) <= last)
+        return F.coalesce(kept, F.array().cast("array<struct<n:bigint,gram:string,pos:int>>"))
+
+    kept = [prefix(q) for q, _ in classes]
+    return rows.select(*keys, text, F.explode(F.concat(*kept)).alias("_g")).select(
+        *keys, text, F.col("_g.gram").alias("gram"), F.col("_g.pos").alias("pos"))
 
 
 def fuzzy_pairs(

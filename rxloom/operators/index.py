@@ -162,13 +162,12 @@ def best_per_query(pairs: DataFrame) -> DataFrame:
 
 def field_postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(term, id, weight) of `docs(id, ...)`; `fields` maps a weight class a..d to a text column."""
-    entries = F.concat(
-        *[
-            F.transform(F.array_distinct(word_tokens(F.coalesce(col, F.lit("")))), lambda t, w=w: F.struct(
-                t.alias("term"), F.lit(FIELD_WEIGHTS[w]).alias("w")))
-            for w, col in fields.items()
-        ]
-    )
+
+    def entries_of(weight: float, col: Column) -> Column:
+        terms = F.array_distinct(word_tokens(F.coalesce(col, F.lit(""))))
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    entries = F.concat(*[entries_of(FIELD_WEIGHTS[k], col) for k, col in fields.items()])
     rows = docs.select("id", F.explode(entries).alias("e"))
     return rows.groupBy("id", F.col("e.term").alias("term")).agg(F.sum("e.w").alias("weight"))
 
