@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rxloom.functions.text import normalize_for_matching
-from rxloom.session import spread
+from rxloom.session import materialise, spread
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -134,7 +134,7 @@ MESSY_NAMES = """messy_names AS (
 
 # --- prescription log -------------------------------------------------------
 
-def _pos():
+def position():
     return F.concat(
         F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
         F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0"),
@@ -155,7 +155,7 @@ def rx_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = li.join(pa, li.l_partkey == pa.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
     k = F.col("l_linenumber") % 7
     return rows.select(
-        _pos().alias("pos"),
+        position().alias("pos"),
         F.col("l_orderkey").alias("order_id"),
         F.col("p_name").alias("drug_name"),
         F.concat(
@@ -224,8 +224,8 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     pa = table(spark, sf, "part").select("p_partkey", "p_name")
     return li.join(pa, li.l_partkey == pa.p_partkey).select(
         F.col("l_orderkey").alias("request_id"),
-        _pos().alias("claim_id"),
-        _pos().alias("pos"),
+        position().alias("claim_id"),
+        position().alias("pos"),
         F.col("p_name").alias("service"),
         F.col("l_extendedprice").alias("amount"),
     )
@@ -244,8 +244,8 @@ def purchases(spark: SparkSession, sf: str) -> DataFrame:
     even = F.col("l_linenumber") % 2 == 0
     return li.join(pa, li.l_partkey == pa.p_partkey).select(
         F.col("l_orderkey").alias("request_id"),
-        F.concat(F.lit("m"), _pos()).alias("medicine_id"),
-        _pos().alias("pos"),
+        F.concat(F.lit("m"), position()).alias("medicine_id"),
+        position().alias("pos"),
         F.when(even, F.expr("concat(substring(p_name, 1, length(p_name) - 2), 'q')")).otherwise(F.col("p_name")).alias("service"),
         F.when(even, F.col("l_extendedprice") * 0.5).otherwise(F.col("l_extendedprice")).alias("amount"),
     )
@@ -335,6 +335,11 @@ def kb(spark: SparkSession, sf: str, part: int | None = None) -> DataFrame:
     return build_kb(rx_half(spark, sf, part), diseases(spark, sf), batch_id(), now())
 
 
+def kb_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The knowledge base as a stored table, as its readers meet it."""
+    return materialise(kb(spark, sf), "kb")
+
+
 def sql_icd(col: str) -> tuple[str, str]:
     pattern = r"(?i)^([A-Z]\d+(?:\.\d+)?)\s*-\s*(.+)$"
     code = f"lower(regexp_extract(trim({col}), '{pattern}', 1))"

@@ -29,9 +29,10 @@ def normalize_documents(spark, sf):
         F.md5(text.normalize_for_matching(F.col("text"), "claims")).alias("claims_key"), F.length(kb).alias("n"))
 
 
-def _sql_compound(kb: bool) -> str:
+def sql_compound(expr: str, kb: bool = True) -> str:
+    """normalize_drug_name in SQL."""
     dose = r"\d+(?:\.\d+)?\s*(mg|g|mcg|iu|ml|l)"
-    s = rf"regexp_replace(lower({COMPOUND}), '\s+', ' ', 'g')"
+    s = rf"regexp_replace(lower({expr}), '\s+', ' ', 'g')"
     act = "p" if not kb else r"trim(regexp_replace(regexp_replace(p, '\([^)]*\)', '', 'g'), '\s+', ' ', 'g'))"
     parts = (rf"list_filter(list_transform(regexp_split_to_array(regexp_replace({s}, '{dose}', ' ', 'g'), "
              rf"'\+|/|,|\band\b|\bva\b'), lambda x: trim(x)), lambda x: length(x) >= 2 AND regexp_matches(x, '[a-z]'))")
@@ -41,7 +42,7 @@ def _sql_compound(kb: bool) -> str:
 
 
 @query("compound_names", "F3 F4", f"""
-SELECT p_partkey AS id, {_sql_compound(True)} AS kb_name, {_sql_compound(False)} AS claims_name FROM part""")
+SELECT p_partkey AS id, {sql_compound(COMPOUND)} AS kb_name, {sql_compound(COMPOUND, False)} AS claims_name FROM part""")
 def compound_names(spark, sf):
     return _part(spark, sf, COMPOUND).select(
         "id", text.normalize_drug_name(F.col("raw")).alias("kb_name"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rxloom.functions.text import normalize_text
 from rxloom.operators import consult, index, lookup, matching, ranking
 from rxloom.plans import domain as d
+from rxloom.plans.q_functions import sql_compound, sql_mapping, sql_role, sql_valid_role
 from rxloom.plans.registry import query
 
 QUERIES = f"""q AS (SELECT query, trim(query) AS raw, {d.sql_norm('query', 'claims')} AS norm
@@ -175,7 +176,7 @@ kbm AS (SELECT query, coalesce(ke.id, kp.id, fz.id, cz.id) AS drug_name_norm,
 @query("kb_name_match", "J8", d.ctes(*d.KB_CTES, d.MESSY_NAMES, sql_kb_match("messy_names")) +
        " SELECT query, drug_name_norm, round(match_score, 6) AS match_score, match_method FROM kbm")
 def kb_name_match(spark, sf):
-    out = matching.match_kb_names(d.messy_names(spark, sf), "name", d.kb(spark, sf))
+    out = matching.match_kb_names(d.messy_names(spark, sf), "name", d.kb_table(spark, sf))
     return out.withColumn("match_score", F.round("match_score", 6))
 
 
@@ -194,7 +195,7 @@ FROM icd_pairs p LEFT JOIN kbm m ON m.query = p.name LEFT JOIN best_icd e ON e.d
 def kb_match_with_icd(spark, sf):
     pairs = d.messy_names(spark, sf).withColumn(
         "icd", F.concat(F.char(97 + F.col("item_id") % 8), (1 + F.col("item_id") % 5).cast("string")))
-    kb = d.kb(spark, sf)
+    kb = d.kb_table(spark, sf)
     matches = matching.match_kb_names(pairs, "name", kb)
     return consult.match_kb_with_icd(pairs, kb, matches).drop("tdv_feedback").withColumn("match_score", F.round("match_score", 6))
 
@@ -218,8 +219,6 @@ def _diagnoses(spark, sf):
 
 
 def _consult_sql() -> str:
-    from rxloom.plans.q_functions import sql_mapping, sql_valid_role
-
     cat, val = sql_mapping("role")
     return f"""SELECT request_id, item_id, name, CASE WHEN found THEN {cat} ELSE 'drug' END AS category, CASE WHEN found THEN {val} ELSE 'unknown' END AS validity,
   CASE WHEN found THEN role ELSE '' END AS role, CASE WHEN NOT found THEN 'INTERNAL_KB_EMPTY' WHEN expert IS NOT NULL THEN 'INTERNAL_KB_TDV'
@@ -236,19 +235,17 @@ FROM (SELECT *, coalesce(expert, ai, 'main drug') AS role FROM (
 
 @query("consultation", "J22 F12 F13 F14", d.ctes(*d.KB_CTES, d.MESSY_NAMES, CONSULT, sql_kb_match("messy_names"), BEST) + " " + _consult_sql())
 def consultation(spark, sf):
-    out = consult.consult(_items(spark, sf), _diagnoses(spark, sf), d.kb(spark, sf))
+    out = consult.consult(_items(spark, sf), _diagnoses(spark, sf), d.kb_table(spark, sf))
     return out.drop("explanation").withColumn("match_score", F.round("match_score", 6))
 
 
-@query("strict_kb_lookup", "J23", d.ctes(*d.KB_CTES) + " SELECT * FROM (" + (lambda r, m: f"""
-SELECT drug_name_norm, disease_icd, {m[0]} AS category, {m[1]} AS validity, role, source FROM (
-  SELECT drug_name_norm, disease_icd, {r} AS role, CASE WHEN told THEN 'INTERNAL_KB_TDV' ELSE 'INTERNAL_KB_AI' END AS source FROM (
+@query("strict_kb_lookup", "J23", d.ctes(*d.KB_CTES) + f"""
+SELECT drug_name_norm, disease_icd, {sql_mapping('role')[0]} AS category, {sql_mapping('role')[1]} AS validity, role, source FROM (
+  SELECT drug_name_norm, disease_icd, {sql_role('picked')} AS role, CASE WHEN told THEN 'INTERNAL_KB_TDV' ELSE 'INTERNAL_KB_AI' END AS source FROM (
     SELECT *, lower(coalesce(tdv_feedback, '')) NOT IN ('', 'none', 'null') AS told,
-      CASE WHEN lower(coalesce(tdv_feedback, '')) NOT IN ('', 'none', 'null') THEN tdv_feedback ELSE treatment_type END AS picked FROM kb)))""")(
-    __import__("rxloom.plans.q_functions", fromlist=["x"]).sql_role("picked"),
-    __import__("rxloom.plans.q_functions", fromlist=["x"]).sql_mapping("role")))
+      CASE WHEN lower(coalesce(tdv_feedback, '')) NOT IN ('', 'none', 'null') THEN tdv_feedback ELSE treatment_type END AS picked FROM kb))""")
 def strict_kb_lookup(spark, sf):
-    kb = d.kb(spark, sf)
+    kb = d.kb_table(spark, sf)
     return consult.strict_lookup(kb.select("drug_name_norm", "disease_icd"), kb)
 
 
@@ -256,13 +253,14 @@ FALLBACK = """fallback AS (SELECT 'pack ' || p_type || ' ' || p_brand AS query,
   p_type || ' generic' AS ten_thuoc, p_type AS hoat_chat, 'see leaflet' AS chi_dinh, 0.8 AS confidence FROM part GROUP BY p_type, p_brand)"""
 
 
-@query("identify_batch", "J17 W5", d.ctes(d.DRUGS, d.VERIFIED, d.MESSY_NAMES, *SEARCH, FALLBACK, """
-inputs AS (SELECT name AS input_name, min(item_id) AS pos FROM messy_names GROUP BY 1),
+@query("identify_batch", "J17 W5", d.ctes(d.DRUGS, d.VERIFIED, d.MESSY_NAMES.replace("messy_names AS", "base_names AS"), f"""
+messy_names AS (SELECT item_id, name AS input_name, coalesce({sql_compound('trim(name)')}, trim(name)) AS name FROM base_names)""", *SEARCH, FALLBACK, """
+inputs AS (SELECT input_name, any_value(name) AS keyword, min(item_id) AS pos FROM messy_names GROUP BY 1),
 r AS (SELECT pos, input_name, coalesce(v.ten_thuoc, f.ten_thuoc) AS official_name, coalesce(v.so_dang_ky, f.so_dang_ky) AS sdk,
   CASE WHEN v.id IS NOT NULL THEN s.source WHEN f.query IS NOT NULL THEN 'Web Search (Advanced)' END AS source,
   CASE WHEN v.id IS NOT NULL THEN s.confidence WHEN f.query IS NOT NULL THEN f.confidence END AS confidence
-  FROM inputs LEFT JOIN searched s ON trim(s.query) = trim(input_name) AND s.query = input_name LEFT JOIN verified v ON v.id = s.id AND v.so_dang_ky <> ''
-  LEFT JOIN fallback f ON f.query = trim(input_name)),
+  FROM inputs LEFT JOIN searched s ON s.query = keyword LEFT JOIN verified v ON v.id = s.id AND v.so_dang_ky <> ''
+  LEFT JOIN fallback f ON f.query = keyword),
 h AS (SELECT sdk, min(pos) AS first_pos, arg_min(input_name, pos) AS holder FROM r WHERE coalesce(sdk, '') NOT IN ('', 'N/A', 'Web Result (No SDK)') GROUP BY 1)""") + """
 SELECT r.pos, input_name, official_name, r.sdk, source, confidence::DOUBLE AS confidence, CASE WHEN official_name IS NULL THEN 'Not Found' END AS status,
   coalesce(h.first_pos IS NOT NULL AND r.pos <> h.first_pos, FALSE)::INT AS is_duplicate, CASE WHEN r.pos <> h.first_pos THEN holder END AS duplicate_of
@@ -294,7 +292,7 @@ def disease_lookup(spark, sf):
         F.col("o_orderkey").alias("query_id"),
         F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.char(97 + F.col("o_custkey") % 9), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise(""))).otherwise("").alias("icd"),
         F.upper(F.substring("o_orderpriority", 4, 5)).alias("name"))
-    return lookup.find_diseases(q, d.kb(spark, sf))
+    return lookup.find_diseases(q, d.kb_table(spark, sf))
 
 
 LINKS = """reqs AS (SELECT o_orderkey AS request_id, 'VN-' || o_custkey AS sdk, chr((97 + o_custkey % 6)::INT) || (1 + o_orderkey % 5) AS icd FROM orders),
@@ -311,7 +309,7 @@ def _link_requests(spark, sf):
 SELECT request_id, s.sdk, icd AS icd_code, drug_name_norm AS drug_name, frequency, treatment_type AS classification
 FROM reqs JOIN top5 ON disease_icd = icd, LATERAL (SELECT unnest([reqs.sdk, 'VN-0']) AS sdk) s""")
 def verified_links(spark, sf):
-    out = lookup.verified_links(_link_requests(spark, sf), d.kb(spark, sf))
+    out = lookup.verified_links(_link_requests(spark, sf), d.kb_table(spark, sf))
     return out.select("request_id", "sdk", "icd_code", "drug_name", "frequency", "classification")
 
 
@@ -319,7 +317,7 @@ def verified_links(spark, sf):
 SELECT r.request_id, 1 AS n_drugs, 1 AS n_diseases, coalesce(n, 0) AS n_links FROM reqs r LEFT JOIN (
   SELECT request_id, count(*) * 2 AS n FROM reqs JOIN top5 ON disease_icd = icd GROUP BY 1) USING (request_id)""")
 def treatment_analysis(spark, sf):
-    kb = d.kb(spark, sf)
+    kb = d.kb_table(spark, sf)
     reqs = _link_requests(spark, sf)
     drugs = reqs.select("request_id", F.get("sdks", F.lit(0)).alias("sdk"))
     found = lookup.find_diseases(
@@ -339,8 +337,9 @@ fq AS (SELECT query, {d.sql_norm('query')} AS text FROM (SELECT DISTINCT substri
 ft AS (SELECT query, unnest(list_distinct(string_split(text, ' '))) AS token FROM fq)"""
 
 
-def _fts_sql(test: str) -> str:
-    return d.ctes(d.DRUGS, FTS, f"""
+def _fts_sql(test: str, cut: bool) -> str:
+    fts = FTS if cut else FTS.replace("substring(split_part(p_name, ' ', 2), 1, 3)", "split_part(p_name, ' ', 2)").replace("substring(p_type, 1, 4)", "p_type")
+    return d.ctes(d.DRUGS, fts, f"""
 fh AS (SELECT query, id, count(DISTINCT token) AS have, round(sum(weight), 9) AS score FROM ft JOIN post ON {test} GROUP BY 1, 2),
 need AS (SELECT query, count(*) AS need FROM ft GROUP BY 1)""") + """
 SELECT query, id, round(score, 6) AS score FROM fh JOIN need USING (query) WHERE have = need QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) = 1"""
@@ -350,18 +349,19 @@ def _fts(spark, sf, prefix: bool):
     drugs = d.drugs(spark, sf)
     p = d.table(spark, sf, "part")
     words = F.split("p_name", " ")
-    q = p.select(F.concat_ws(" ", F.substring(words[1], 1, 3), words[0], F.lower(F.substring("p_type", 1, 4))).alias("query")).distinct()
+    parts = (F.substring(words[1], 1, 3), words[0], F.substring("p_type", 1, 4)) if prefix else (words[1], words[0], F.col("p_type"))
+    q = p.select(F.concat_ws(" ", parts[0], parts[1], F.lower(parts[2])).alias("query")).distinct()
     post = index.field_postings(drugs, {"a": F.col("ten_thuoc"), "b": F.col("hoat_chat"), "c": F.col("cong_ty_san_xuat"), "d": F.col("search_text")})
     hits = index.search_all_terms(q.select("query", normalize_text(F.col("query")).alias("text")), post, prefix)
     return index.best_per_query(hits).select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query("fulltext_prefix", "J24", _fts_sql("starts_with(term, token)"))
+@query("fulltext_prefix", "J24", _fts_sql("starts_with(term, token)", True))
 def fulltext_prefix(spark, sf):
     return _fts(spark, sf, True)
 
 
-@query("fulltext_exact", "J24", _fts_sql("term = token"))
+@query("fulltext_exact", "J24", _fts_sql("term = token", False))
 def fulltext_exact(spark, sf):
     return _fts(spark, sf, False)
 
@@ -402,10 +402,10 @@ def link_page(spark, sf):
 
 
 @query("disease_page", "O3 P2", d.ctes(d.DISEASES) + """
-SELECT id, icd_code, disease_name, chapter_name FROM diseases WHERE contains(lower(disease_name), 'an') OR contains(lower(icd_code), 'an') OR contains(lower(slug), 'an')
+SELECT id, icd_code, disease_name, chapter_name FROM diseases WHERE contains(lower(disease_name), 'n') OR contains(lower(icd_code), 'n') OR contains(lower(slug), 'n')
 ORDER BY icd_code, id LIMIT 5 OFFSET 5""")
 def disease_page(spark, sf):
-    kept = d.diseases(spark, sf).where(ranking.contains_text("an", "disease_name", "icd_code", "slug"))
+    kept = d.diseases(spark, sf).where(ranking.contains_text("n", "disease_name", "icd_code", "slug"))
     return ranking.page_of(kept.select("id", "icd_code", "disease_name", "chapter_name"), [F.col("icd_code"), F.col("id")], 2, 5)
 
 

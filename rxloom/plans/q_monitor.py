@@ -90,7 +90,7 @@ def match_quality(spark, sf):
 
 @query("link_union", "U4", """
 WITH a AS (SELECT url, 0 AS frame, page_id AS pos FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1, page_id FROM pages UNION ALL SELECT split_part(url, '?', 1), 2, page_id FROM pages)
-SELECT url, frame, pos FROM (SELECT url, min(ROW(frame, pos)) AS at, min(ROW(frame, pos))[1] AS frame, min(ROW(frame, pos))[2] AS pos FROM a GROUP BY 1) ORDER BY at, url LIMIT 40""")
+SELECT url, frame, pos FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY frame, pos) = 1 ORDER BY frame, pos, url LIMIT 40""")
 def link_union(spark, sf):
     p = d.table(spark, sf, "pages").select("url", F.col("page_id").alias("pos"))
     bare = p.select(F.split_part("url", F.lit("?"), F.lit(1)).alias("url"), "pos")
