@@ -53,27 +53,43 @@ def _shared(m: Column, q: int, t: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(m * per_char - (q - 1) - _EPS).cast("int"))
 
 
-def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, freq: DataFrame) -> DataFrame:
+def _frequent_grams(df: DataFrame, text: str, q: int) -> DataFrame:
+    """One string listing the commonest grams, rarest of them first.
+
+    A gram's place in it (0 when absent) orders grams by rarity. Any fixed order keeps the
+    join lossless, so listing only the commonest grams costs nothing but selectivity.
+    """
+    top = (
+        df.select(F.explode(_grams(F.col(text), q)).alias("g")).groupBy("g.gram").count()
+        .orderBy(F.desc("count"), "gram").limit(FREQUENT_GRAMS)
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("count", "gram"))), lambda g: g["gram"])
+    return top.agg(F.array_join(listed, "\x01").alias("often"))
+
+
+def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: dict[int, DataFrame]) -> DataFrame:
     """One row per prefix gram: the rarest grams of a string, among which a shared one must be."""
     m2 = _bigram_min_length(t)
     m = F.length(text)
     # single characters are needed only by strings that a short partner can reach
     classes = [(1, (m * (t / (2 - t)) < m2) if m2 else F.lit(True))] + ([(2, m >= m2)] if m2 else [])
-    rows = df.where(m > 0).select(*keys, text).withColumn("_freq", freq.scalar())
-    # separate projections: each array is built once per row, not once per use
-    rows = rows.withColumns({
-        f"_g{q}": F.when(used, F.array_sort(F.transform(
+    rows = df.where(m > 0).select(*keys, text)
+    rows = rows.withColumns({f"_often{q}": frequent[q].scalar() for q, _ in classes})
+
+    def ranked(q: int) -> Column:
+        often = F.coalesce(f"_often{q}", F.lit(""))
+        return F.array_sort(F.transform(
             _grams(F.col(text), q),
-            lambda g: F.struct(F.coalesce(F.col("_freq")[g["gram"]], F.lit(0)).alias("n"), g["gram"].alias("gram"),
-                               g["pos"].alias("pos")))))
-        for q, used in classes
-    }).drop("_freq")
+            lambda g: F.struct(F.instr(often, g["gram"]).alias("n"), g["gram"].alias("gram"), g["pos"].alias("pos"))))
+
+    # separate projections: each array is built once per row, not once per use
+    rows = rows.withColumns({f"_g{q}": F.when(used, ranked(q)) for q, used in classes})
     rows = rows.withColumns({f"_last{q}": F.get(f"_g{q}", m - q + 1 - _shared(m, q, t)) for q, _ in classes})
 
     def prefix(q: int) -> Column:
         last = F.struct(F.col(f"_last{q}.n"), F.col(f"_last{q}.gram"))
         kept = F.filter(f"_g{q}", lambda g: F.struct(g["n"], g["gram"]) <= last)
-        return F.coalesce(kept, F.array().cast("array<struct<n:bigint,gram:string,pos:int>>"))
+        return F.coalesce(kept, F.array().cast("array<struct<n:int,gram:string,pos:int>>"))
 
     kept = [prefix(q) for q, _ in classes]
     return rows.select(*keys, text, F.explode(F.concat(*kept)).alias("_g")).select(
@@ -90,16 +106,9 @@ def fuzzy_pairs(
     block = block or []
     t = threshold / 100.0
     m2 = _bigram_min_length(t)
-    freq = (
-        right.select(F.explode(F.concat(_grams(F.col(r_text), 1), _grams(F.col(r_text), 2))).alias("g"))
-        .groupBy(F.col("g.gram").alias("gram"))
-        .count()
-        .orderBy(F.desc("count"), "gram")
-        .limit(FREQUENT_GRAMS)
-        .agg(F.map_from_entries(F.collect_list(F.struct("gram", "count"))))
-    )
-    lg = _gram_rows(left, block, l_text, t, freq).withColumnRenamed("pos", "l_pos")
-    rg = _gram_rows(right, block, r_text, t, freq).withColumnRenamed("pos", "r_pos")
+    frequent = {q: _frequent_grams(right, r_text, q) for q in (1, 2)}
+    lg = _gram_rows(left, block, l_text, t, frequent).withColumnRenamed("pos", "l_pos")
+    rg = _gram_rows(right, block, r_text, t, frequent).withColumnRenamed("pos", "r_pos")
     m, n, q = F.length(l_text), F.length(r_text), F.length("gram")
     half = (m + n) * (t / 2) - _EPS
     near = F.least(m, n) >= F.greatest(m, n) * (t / (2 - t)) - _EPS
@@ -111,7 +120,10 @@ def fuzzy_pairs(
         .select(*block, l_text, r_text)
         .distinct()
     )
-    return pairs.withColumn("score", sorted_ratio(F.col(l_text), F.col(r_text))).where(F.col("score") >= threshold)
+    scored = pairs.select(l_text, r_text).distinct() if block else pairs
+    scored = scored.withColumn("score", sorted_ratio(F.col(l_text), F.col(r_text))).where(F.col("score") >= threshold)
+    # the same two names meet in many blocks; they are compared once
+    return pairs.join(scored, [l_text, r_text]).select(*block, l_text, r_text, "score") if block else scored
 
 
 def substring_first(queries: DataFrame, names: DataFrame) -> DataFrame:
