@@ -73,7 +73,8 @@ def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: di
     m = F.length(text)
     # single characters are needed only by strings that a short partner can reach
     classes = [(1, (m * (t / (2 - t)) < m2) if m2 else F.lit(True))] + ([(2, m >= m2)] if m2 else [])
-    rows = df.where(m > 0).select(*keys, text)
+    # with blocks the same text recurs in many of them; its grams are built once
+    rows = df.where(m > 0).select(text).distinct() if keys else df.where(m > 0).select(text)
     rows = rows.withColumns({f"_often{q}": frequent[q].scalar() for q, _ in classes})
 
     def ranked(q: int) -> Column:
@@ -92,8 +93,12 @@ def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: di
         return F.coalesce(kept, F.array().cast("array<struct<n:int,gram:string,pos:int>>"))
 
     kept = [prefix(q) for q, _ in classes]
-    return rows.select(*keys, text, F.explode(F.concat(*kept)).alias("_g")).select(
-        *keys, text, F.col("_g.gram").alias("gram"), F.col("_g.pos").alias("pos"))
+    rows = rows.select(text, F.concat(*kept).alias("_grams"))
+    if keys:
+        rows = df.join(rows, text)
+    # explode_outer: explode would infer a size filter that inlines the whole array expression
+    return rows.select(*keys, text, F.explode_outer("_grams").alias("_g")).select(
+        *keys, text, F.col("_g.gram").alias("gram"), F.col("_g.pos").alias("pos")).where("gram IS NOT NULL")
 
 
 def fuzzy_pairs(
