@@ -71,7 +71,7 @@ def partial_hits(queries: DataFrame, names: DataFrame, probe: str, like: bool =
     low = names.select(F.lower("name").alias("name"), "id")
     keyed = queries.withColumn("needle", F.lower(probe)).where("needle != ''")
     if like:
-        joined = keyed.join(low, F.col("name").like(F.concat(F.lit("%"), F.col("needle"), F.lit("%"))))
+        joined = keyed.join(low, F.like("name", F.concat(F.lit("%"), F.col("needle"), F.lit("%"))))
         return joined.groupBy("query").agg(F.min("id").alias("id"))
     hits = substring_first(keyed, low)
     return keyed.join(hits, "needle").select("query", "id")

@@ -164,7 +164,7 @@ def catalogue_dedupe_collapsed(spark, sf):
 
 
 @query("duplicate_profile", "A9", f"""WITH crawl AS ({CRAWL}), g AS (SELECT so_dang_ky, count(*) AS n FROM crawl WHERE so_dang_ky IS NOT NULL GROUP BY 1)
-SELECT sum(n) AS rows, count(*) AS distinct_keys, sum(n - 1) AS surplus, count(*) FILTER (n > 1) AS repeated_keys FROM g""")
+SELECT sum(n)::BIGINT AS rows, count(*) AS distinct_keys, sum(n - 1)::BIGINT AS surplus, count(*) FILTER (n > 1) AS repeated_keys FROM g""")
 def duplicate_profile(spark, sf):
     return quality.duplicate_profile(_crawl(spark, sf), "so_dang_ky")
 

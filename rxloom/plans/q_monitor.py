@@ -38,7 +38,7 @@ def requests_per_endpoint(spark, sf):
 def _sql_detail(where: str, group: str = "") -> str:
     head = f"{group}, " if group else ""
     return f"""SELECT {head}count(*) AS total_requests, count(*) FILTER (status_code < 400) AS success_count, count(*) FILTER (status_code >= 400) AS failure_count,
-  coalesce(sum(matched_count), 0) AS total_matched, coalesce(sum(unmatched_count), 0) AS total_unmatched,
+  coalesce(sum(matched_count), 0)::BIGINT AS total_matched, coalesce(sum(unmatched_count), 0)::BIGINT AS total_unmatched,
   round(CASE WHEN count(*) > 0 THEN count(*) FILTER (status_code < 400) / count(*) * 100 ELSE 100.0 END, 1) AS success_rate,
   round(CASE WHEN sum(matched_count) + sum(unmatched_count) > 0 THEN sum(matched_count) / (sum(matched_count) + sum(unmatched_count)) * 100 ELSE 0.0 END, 1) AS coverage_rate,
   round(coalesce(avg(latency_ms), 0.0), 0) AS avg_latency_ms FROM request_logs WHERE {where} {f'GROUP BY {group}' if group else ''}"""

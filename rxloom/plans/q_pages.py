@@ -55,8 +55,8 @@ g AS (SELECT query, so_dang_ky, count(*) AS n, min(pos) AS first_pos, array_to_s
   arg_min(dang_bao_che, pos) AS dang_bao_che FROM cand WHERE so_dang_ky <> '' GROUP BY 1, 2),
 b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, first_pos) = 1),
 a AS (SELECT * FROM cand WHERE query NOT IN (SELECT query FROM b) QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) = 1)
-SELECT query, so_dang_ky, hoat_chat, cong_ty_san_xuat, chi_dinh, dang_bao_che, 0.8 AS confidence FROM b
-UNION ALL SELECT query, 'Web Result (No SDK)', hoat_chat, cong_ty_san_xuat, chi_dinh, dang_bao_che, 0.8 FROM a""")
+SELECT query, so_dang_ky, hoat_chat, cong_ty_san_xuat, chi_dinh, dang_bao_che, 0.8::DOUBLE AS confidence FROM b
+UNION ALL SELECT query, 'Web Result (No SDK)', hoat_chat, cong_ty_san_xuat, chi_dinh, dang_bao_che, 0.8::DOUBLE FROM a""")
 def candidate_merge(spark, sf):
     return quality.merge_candidates(_candidates(spark, sf), ["hoat_chat", "cong_ty_san_xuat", "chi_dinh"], ["dang_bao_che"])
 
