@@ -261,7 +261,11 @@ PURCHASES = f"""purchases AS (
 # --- logs -------------------------------------------------------------------
 
 def request_logs(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events")
+    return as_request_logs(table(spark, sf, "events"))
+
+
+def as_request_logs(ev: DataFrame) -> DataFrame:
+    """Request-log rows of an events table or stream."""
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.col("event_id").alias("id"),

@@ -22,14 +22,14 @@ def log_schema(header: list[str]) -> StructType:
     return StructType([StructField(name, StringType()) for name in header])
 
 
-def apply_batch(spark: SparkSession, log: DataFrame, epoch: int, diseases: DataFrame, kb: SnapshotTable,
+def apply_batch(log: DataFrame, epoch: int, diseases: DataFrame, kb: SnapshotTable,
                 stats_path: str, archive_path: str | None = None) -> None:
     """Fold one micro-batch. The snapshot number is the epoch, so a replayed epoch changes nothing."""
     if kb.version() is not None and kb.version() >= epoch:
         return
     batch = F.lit(f"batch-{epoch}")
     now = F.current_timestamp()
-    rows = resolve_log_columns(log).where("pos IS NOT NULL")
+    rows = resolve_log_columns(log)
     old = kb.read()
     fold = build_kb(rows, diseases, batch, now)
     parsed = prepare_log(compact_log(rows, batch), F.col("batch_id"))
@@ -49,12 +49,13 @@ def start_ingest(spark: SparkSession, inbox: str, header: list[str], diseases: D
     source = (
         spark.readStream.schema(log_schema(header)).option("header", True).option("multiLine", True).option("escape", '"')
         .option("maxFilesPerTrigger", files_per_batch).csv(inbox)
-        .withColumns({"source_file": F.col("_metadata.file_path"),
-                      "pos": F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))})
+        .withColumn("source_file", F.col("_metadata.file_path"))
     )
 
     def run(batch: DataFrame, epoch: int) -> None:
-        apply_batch(batch.sparkSession, batch, epoch, diseases, kb, stats_path, archive_path)
+        row = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+        batch = batch.withColumn("pos", F.concat_ws("#", "source_file", row))
+        apply_batch(batch, epoch, diseases, kb, stats_path, archive_path)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
