@@ -138,18 +138,20 @@ def position():
     return F.concat(
         F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
         F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0"),
+        F.date_format(F.col("l_shipdate").cast("date"), "yyyyMMdd"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 4, "0"),
     )
 
 
 SQL_POS = (
     "lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 2, '0') || "
-    "lpad(l_partkey::VARCHAR, 12, '0') || lpad(l_suppkey::VARCHAR, 12, '0')"
+    "lpad(l_partkey::VARCHAR, 12, '0') || lpad(l_suppkey::VARCHAR, 12, '0') || "
+    "strftime(l_shipdate, '%Y%m%d') || lpad(l_quantity::INT::VARCHAR, 4, '0')"
 )
 
 
 def rx_log(spark: SparkSession, sf: str) -> DataFrame:
     """Prescription log rows in the shape of the long-header CSV, plus an input position."""
-    li = spread(table(spark, sf, "lineitem").drop("l_shipdate", "l_tax", "l_extendedprice", "l_linestatus"))
+    li = spread(table(spark, sf, "lineitem").drop("l_tax", "l_extendedprice", "l_linestatus"))
     pa = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
     od = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     rows = li.join(pa, li.l_partkey == pa.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
