@@ -1,6 +1,6 @@
 """All registered queries of the subpackage and their SQL."""
 
-from rxloom.llm import langid, packing, quality, sharding, simhash, substrings, url_filter  # noqa: F401
+from rxloom.llm import decontaminate, langid, packing, quality, sharding, simhash, substrings, url_filter  # noqa: F401
 from rxloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
