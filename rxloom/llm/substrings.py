@@ -362,10 +362,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """All rows of `df`, the text replaced by `kept` (remaining bytes), with `n_bytes`, `n_removed` and `n_spans`.
 
-    Null texts are empty. Repeated rows are occurrences of their own, so their texts are repeated strings. An
+    With `as_text`, `kept` is a string without the characters that a cut went through. Null texts are empty. Repeated rows are occurrences of their own, so their texts are repeated strings. An
     empty table gives no rows. Names that clash with the new columns are an error.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
@@ -377,7 +377,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
     rows = df.select(F.struct(*others).alias("row"), F.col(key).alias("a_key"), F.coalesce(F.col(text), F.lit("")).alias("a_text"))
     rows = rows.withColumn("a_th", F.xxhash64("a_text"))
     joined = rows.join(spans, F.col("a_key").eqNullSafe(F.col("b_key")) & (F.col("a_th") == F.col("b_th")), "left").select("row", "a_text", "spans")
-    schema = T.StructType([joined.schema[0], T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in new[1:]]])
+    schema = T.StructType([joined.schema[0], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in new[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -390,10 +390,10 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
                     at = stop
                 left.append(body[at:])
                 kept = b"".join(left)
-                bodies.append(kept)
+                bodies.append(kept.decode("utf-8", "ignore") if as_text else kept)
                 counts.append((len(body), len(body) - len(kept), len(cuts)))
             numbers = np.array(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.binary()), *[pa.array(numbers[:, i]) for i in range(3)]],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string() if as_text else pa.binary()), *[pa.array(numbers[:, i]) for i in range(3)]],
                                              ["row", *new])
 
     return joined.mapInArrow(run, schema).select("row.*", *new)
