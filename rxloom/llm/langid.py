@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from rxloom.llm.common import query, table
 from rxloom.session import materialise
 
-#: Training documents per language, those with the smallest hash of their id; the bound of the sample.
+#: Training documents per language, chosen by a hash of their id; the bound of the sample.
 TRAINING_DOCS = 400
+HASHES = 1 << 30
 ROUNDS = 3
 #: Words are summed in parts of at most so many characters, so that probabilities stay in range.
 PART = 20
@@ -137,14 +138,14 @@ def held_out(key: str) -> Column:
 
 
 def training_words(df: DataFrame, key: str, text: str, lang: str, docs_per_language: int) -> DataFrame:
-    """(lang, word, n) over a bounded sample: per language the training documents with the smallest id hashes."""
-    from pyspark.sql import Window
-
-    usable = df.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    chosen = (usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-              .withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).select("key").distinct())
-    sample = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, "key", "left_semi")
+    """(lang, word, n) over a bounded sample: of each language about `docs_per_language` training documents by a hash of the id.
+
+    The share to take follows from one count per language, so no language's rows meet in one task.
+    """
+    usable = df.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    shares = usable.groupBy("lang").agg((F.lit(docs_per_language * HASHES) / F.count("*")).alias("share"))
+    sample = usable.join(shares, "lang").where(F.pmod(F.xxhash64("key"), F.lit(HASHES)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
