@@ -10,7 +10,7 @@ import time
 import duckdb
 
 from rxloom.plans.registry import load_all
-from rxloom.session import build_session
+from rxloom.session import build_session, stored_tables, use_local_folder
 
 
 def canonical(value):
@@ -39,14 +39,16 @@ def main():
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
                           spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     bad = []
     for name, q in load_all().items():
         if wanted and not any(w == name or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
         try:
             t0 = time.time()
-            df = q.run(spark, sf)
-            got = rows_of(df.columns, df.collect())
+            with stored_tables(spark):
+                df = q.run(spark, sf)
+                got = rows_of(df.columns, df.collect())
             t1 = time.time()
             if q.oracle is None:
                 print(f"rows  {name}: {len(got)} rows {t1 - t0:.1f}s")

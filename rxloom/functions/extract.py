@@ -16,7 +16,7 @@ MAKER_PATTERN = r"(?idU)(?:Công ty|Nhà) sản xuất[:\.]?\s*(.+?)(?:\n|$)"
 STRICT_SDK = r"(?i)(VN-\d{4,5}-\d{2}|VD-\d{4,5}-\d{2}|QLD-\d+-\d+|GC-\d+-\d+|VNA-\d+-\d+|VNB-\d+-\d+)"
 CONTEXT_SDK = r"(?iU)(?:Số\s+đăng\s+ký|SĐK|SDK|Reg\.No)[:.]?\s*([A-Za-z0-9\-\/Đđ]+)"
 USAGE_PATTERN = (
-    r"(?isU)(?:Công dụng|Chỉ định|Tác dụng|Indication|Điều trị)[:.]?\s*(.{10,1500}?)"
+    r"(?isU)(?:Công dụng|Chỉ định|Tác dụng|Indication|Điều trị)[:.]?\s*(.{10,%s}?)"
     r"(?=(?:Chống chỉ định|Liều dùng|Tác dụng phụ|Thận trọng|Lưu ý|Bảo quản|Đóng gói|\n\n\n|$))"
 )
 NOT_FOUND = "Not Found"
@@ -52,10 +52,12 @@ def page_sdk(col: Column) -> Column:
     return F.coalesce(_first_match(col, [STRICT_SDK, CONTEXT_SDK]), F.lit(NOT_FOUND))
 
 
-def page_usage(col: Column) -> Column:
-    """Usage passage after an indication label; the report form is 400 characters and '...'."""
-    found = F.trim(F.regexp_extract(col, USAGE_PATTERN, 1))
-    short = F.concat(F.substring(F.regexp_replace(found, r"(?U)\s+", " "), 1, 400), F.lit("..."))
+def page_usage(col: Column, limit: int | None = None) -> Column:
+    """Usage passage after an indication label on one line; `limit` gives the report form of so many characters and '...'."""
+    # The report form looks at 1,500 characters, as the original report does.
+    pattern = USAGE_PATTERN % ("" if limit is None else "1500")
+    found = F.trim(F.regexp_replace(F.trim(F.regexp_extract(col, pattern, 1)), r"(?U)\s+", " "))
+    short = found if limit is None else F.concat(F.substring(found, 1, limit), F.lit("..."))
     return F.when(found != "", short).otherwise(NOT_FOUND)
 
 

@@ -296,8 +296,9 @@ def logged_counts(endpoint: Column, response: Column) -> Column:
     )
 
 
-def stored_body(col: Column) -> Column:
-    return F.substring(col, 1, 100000)
+def stored_body(col: Column, limit: int | None = None) -> Column:
+    """A body as it is logged; `limit` keeps that many characters (the original log keeps 100,000)."""
+    return col if limit is None else F.substring(col, 1, limit)
 
 
 def token_cost(tokens_in: Column, tokens_out: Column) -> Column:

@@ -27,8 +27,12 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return first_per_key(rows, keys, [c.desc() for c in order])
 
 
-def shape_records(df: DataFrame) -> DataFrame:
-    """Crawled rows in catalogue columns; empty and 'nan' values become null."""
+#: Fixed value: what imported records name as their source.
+IMPORT_SOURCE = "ThuocBietDuoc Crawler (Import)"
+
+
+def shape_records(df: DataFrame, source: str = IMPORT_SOURCE) -> DataFrame:
+    """Crawled rows in catalogue columns, `pos` kept if there; empty and 'nan' values become null."""
 
     def col(name: str) -> Column:
         return drop_nan(F.col(name)) if name in df.columns else F.lit(None).cast("string")
@@ -37,16 +41,19 @@ def shape_records(df: DataFrame) -> DataFrame:
     return df.select(
         col("so_dang_ky").alias("so_dang_ky"), col("ten_thuoc").alias("ten_thuoc"), col("hoat_chat").alias("hoat_chat"),
         col("dang_bao_che").alias("dang_bao_che"), col("ham_luong").alias("nong_do"), col("danh_muc").alias("nhom_thuoc"),
-        urls.alias("source_urls"), F.lit("ThuocBietDuoc Crawler (Import)").alias("source"),
-        col("noi_dung_dieu_tri").alias("chi_dinh"),
+        urls.alias("source_urls"), F.lit(source).alias("source"),
+        col("noi_dung_dieu_tri").alias("chi_dinh"), *[F.col(c) for c in ("pos",) if c in df.columns],
     )
 
 
-def enrich_by_sdk(drugs: DataFrame, records: DataFrame, now: Column, user: str, refresh_search: bool = True) -> DataFrame:
+def enrich_by_sdk(drugs: DataFrame, records: DataFrame, now: Column, user: str, refresh_search: bool = True,
+                  order: str | None = None) -> DataFrame:
     """New catalogue snapshot: empty fields are filled from records of the same number, unknown numbers are added.
 
     `outcome` says inserted, updated, skipped or kept. With `refresh_search` a known
     drug's search text is always rebuilt; without it a drug with nothing to fill is skipped.
+    Records of one trimmed number count in input order (column `order`, else by value): the first makes or fills,
+    later ones fill what is still empty, the last one's search text stays.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     rec = records.where(text(F.col("so_dang_ky")) != "").select(
@@ -54,7 +61,13 @@ def enrich_by_sdk(drugs: DataFrame, records: DataFrame, now: Column, user: str,
         full_ingredient(F.col("hoat_chat"), F.col("nong_do")).alias("_ing"), F.col("chi_dinh").alias("_use"),
         labelled_note("; ", ("Bào chế: ", F.col("dang_bao_che")), ("Nhóm: ", F.col("nhom_thuoc"))).alias("_note"),
         F.get("source_urls", F.lit(0)).alias("_url"), F.col("nhom_thuoc").alias("_class"),
+        *([F.col(order).alias("_at")] if order else []),
     )
+    place = F.struct(*([F.col("_at")] if order else []), "_ten", "_ing", "_use", "_note", "_url", "_class")
+    rec = rec.where("_sdk != ''").withColumn("_place", place).groupBy("_sdk").agg(
+        *[F.min_by(c, "_place").alias(c) for c in ("_ten", "_ing", "_class")],
+        *[F.coalesce(F.min_by(c, F.when(text(F.col(c)) != "", F.col("_place"))), F.min_by(c, "_place")).alias(c) for c in ("_use", "_note", "_url")],
+        F.max_by(F.struct("_ten", "_ing"), "_place").alias("_last"))
     base = add_missing_columns(drugs, {
         "source_urls": "string", "classification": "string", "created_by": "string", "updated_by": "string",
         "created_at": "timestamp", "updated_at": "timestamp"})
@@ -68,7 +81,7 @@ def enrich_by_sdk(drugs: DataFrame, records: DataFrame, now: Column, user: str,
     for old, new in (("chi_dinh", "_use"), ("note", "_note"), ("source_urls", "_url")):
         fillable = fillable | ((text(F.col(old)) == "") & (text(F.col(new)) != ""))
     touched = has_rec & ~is_new & (F.lit(True) if refresh_search else fillable)
-    key_text = search_text(F.col("_ten"), F.col("_ing"))
+    key_text = search_text(F.col("_last._ten"), F.col("_last._ing"))
     out = {c: F.col(c) for c in base.columns}
     out["so_dang_ky"] = F.coalesce("so_dang_ky", "_sdk")
     out["ten_thuoc"] = F.when(is_new, F.col("_ten")).otherwise(F.col("ten_thuoc"))

@@ -85,14 +85,12 @@ def approve(staging: DataFrame, drugs: DataFrame, links: DataFrame, ids: DataFra
     picked = st.join(ids, "id", "left_semi").join(known, "conflict_id", "left")
     picked = picked.where("conflict_id IS NULL OR _known").drop("_known")
     merges = picked.where("conflict_id IS NOT NULL")
-    last = merges.groupBy("conflict_id").agg(
-        F.max_by(F.struct(*RECORD, "search_text", *extra), "id").alias("_new"), F.collect_list(F.struct("id", *RECORD)).alias("_all"))
-    # states of a drug: the stored one, then every approved row but the last
-    stored = base.join(last, base["id"] == last["conflict_id"]).select(
-        F.col("conflict_id").alias("original_drug_id"), F.struct(F.lit(-1).cast("bigint").alias("id"), *RECORD).alias("_s"), "_all")
-    steps = F.sort_array(F.concat(F.array("_s"), "_all"))
-    history = stored.select("original_drug_id", F.explode(F.slice(steps, F.lit(1), F.size("_all"))).alias("_s")).select(
-        "original_drug_id", *[F.col(f"_s.{c}").alias(c) for c in RECORD], F.lit(user).alias("archived_by"), now.alias("archived_at"))
+    last = merges.groupBy("conflict_id").agg(F.max_by(F.struct(*RECORD, "search_text", *extra), "id").alias("_new"), F.max("id").alias("_last"))
+    # States of a drug before its last: the stored one, and every approved row but the last.
+    stored = base.join(last.select("conflict_id"), base["id"] == last["conflict_id"]).select(F.col("id").alias("original_drug_id"), *RECORD)
+    earlier = merges.join(last.select("conflict_id", "_last"), "conflict_id").where("id < _last").select(
+        F.col("conflict_id").alias("original_drug_id"), *RECORD)
+    history = stored.unionByName(earlier).select("*", F.lit(user).alias("archived_by"), now.alias("archived_at"))
     hit = F.col("_new").isNotNull()
     fields = [*RECORD, "search_text", *extra]
     j = base.join(last.select(F.col("conflict_id").alias("_cid"), "_new"), F.col("id") == F.col("_cid"), "left")

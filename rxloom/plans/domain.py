@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rxloom.functions.text import normalize_for_matching
-from rxloom.session import materialise, spread
-
+from rxloom.session import materialise
 
 _SCHEMAS: dict[str, StructType] = {}
 
 
-def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
-    """Read a driver table; its schema is inferred once per path. `heavy` spreads under-split files."""
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Read a driver table; its schema is inferred once per path."""
     path = f"{sf}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return spread(df) if heavy else df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def ctes(*parts: str) -> str:
@@ -151,7 +149,7 @@ SQL_POS = (
 
 def rx_log(spark: SparkSession, sf: str) -> DataFrame:
     """Prescription log rows in the shape of the long-header CSV, plus an input position."""
-    li = spread(table(spark, sf, "lineitem").drop("l_tax", "l_extendedprice", "l_linestatus"))
+    li = table(spark, sf, "lineitem").drop("l_tax", "l_extendedprice", "l_linestatus")
     pa = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
     od = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     rows = li.join(pa, li.l_partkey == pa.p_partkey).join(od, li.l_orderkey == od.o_orderkey)
@@ -222,7 +220,7 @@ def sql_json(list_expr: str) -> str:
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """One claim line per lineitem row; the order is the request."""
-    li = table(spark, sf, "lineitem", heavy=True)
+    li = table(spark, sf, "lineitem")
     pa = table(spark, sf, "part").select("p_partkey", "p_name")
     return li.join(pa, li.l_partkey == pa.p_partkey).select(
         F.col("l_orderkey").alias("request_id"),
@@ -240,12 +238,15 @@ CLAIMS = f"""claims AS (
 
 
 def purchases(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases are the finished lines; even lines carry a misspelt name and a changed price."""
-    li = table(spark, sf, "lineitem", heavy=True).where(F.col("l_linestatus") == "F")
+    """Purchases are the finished lines; even lines carry a misspelt name and a changed price.
+
+    Those of every eleventh order are requests of their own, without claims.
+    """
+    li = table(spark, sf, "lineitem").where(F.col("l_linestatus") == "F")
     pa = table(spark, sf, "part").select("p_partkey", "p_name")
     even = F.col("l_linenumber") % 2 == 0
     return li.join(pa, li.l_partkey == pa.p_partkey).select(
-        F.col("l_orderkey").alias("request_id"),
+        F.when(F.col("l_orderkey") % 11 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("request_id"),
         F.concat(F.lit("m"), position()).alias("medicine_id"),
         position().alias("pos"),
         F.when(even, F.expr("concat(substring(p_name, 1, length(p_name) - 2), 'q')")).otherwise(F.col("p_name")).alias("service"),
@@ -254,7 +255,7 @@ def purchases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PURCHASES = f"""purchases AS (
-  SELECT l_orderkey AS request_id, 'm' || {SQL_POS} AS medicine_id, {SQL_POS} AS pos,
+  SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS request_id, 'm' || {SQL_POS} AS medicine_id, {SQL_POS} AS pos,
     CASE WHEN l_linenumber % 2 = 0 THEN substring(p_name, 1, length(p_name) - 2) || 'q' ELSE p_name END AS service,
     CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice * 0.5 ELSE l_extendedprice END AS amount
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F')"""

@@ -10,7 +10,7 @@ from rxloom.plans.registry import query
 
 SUBMISSIONS = """subs AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' new' ELSE ' ' || p_name END AS ten_thuoc, p_type AS hoat_chat,
   p_brand AS cong_ty_san_xuat, CASE WHEN p_partkey % 4 = 0 THEN 'N/A' WHEN p_partkey % 4 = 1 THEN 'VN-' || (p_partkey + 1) ELSE 'XX-' || p_partkey END AS so_dang_ky,
-  'treat ' || p_type AS chi_dinh, p_brand AS tu_dong_nghia FROM part WHERE p_partkey % 5 < 3)"""
+  'treat ' || p_type AS chi_dinh, p_brand AS tu_dong_nghia FROM part)"""
 CONFLICTS = f"""conf AS (SELECT s.id, trim(s.ten_thuoc) AS ten_thuoc, s.hoat_chat, s.cong_ty_san_xuat, s.so_dang_ky, s.chi_dinh, s.tu_dong_nghia,
   {d.sql_norm("trim(s.ten_thuoc) || ' ' || s.hoat_chat || ' ' || s.cong_ty_san_xuat || ' ' || s.tu_dong_nghia")} AS search_text,
   coalesce(a.id, b.id) AS conflict_id, CASE WHEN a.id IS NOT NULL THEN 'sdk' WHEN b.id IS NOT NULL THEN 'name' END AS conflict_type
@@ -23,7 +23,7 @@ NOW = f"TIMESTAMP '{d.NOW}'"
 
 def _submissions(spark, sf):
     k = F.col("p_partkey")
-    return d.table(spark, sf, "part").where("p_partkey % 5 < 3").select(
+    return d.table(spark, sf, "part").select(
         k.alias("id"), F.when(k % 3 == 0, F.concat("p_name", F.lit(" new"))).otherwise(F.concat(F.lit(" "), "p_name")).alias("ten_thuoc"),
         F.col("p_type").alias("hoat_chat"), F.col("p_brand").alias("cong_ty_san_xuat"),
         F.when(k % 4 == 0, "N/A").when(k % 4 == 1, F.concat(F.lit("VN-"), (k + 1).cast("string")))
@@ -171,14 +171,14 @@ def purge_bad_names(spark, sf):
 
 LINK_REQS = """lr AS (SELECT pos, drug_name, 'dis ' || disease_icd AS disease_name, 'VN-' || (l_partkey % 300) AS sdk, upper(disease_icd) || ' ' AS icd_code,
   'n' || pos AS treatment_note, 1 AS is_verified, classification AS coverage_type, 'web' AS created_by, 'active' AS status
-  FROM (SELECT *, substring(pos, 15, 12)::BIGINT AS l_partkey, lower(substring(primary_disease, 1, 2)) AS disease_icd FROM rx_log WHERE order_id % 50 = 7)),
+  FROM (SELECT *, substring(pos, 15, 12)::BIGINT AS l_partkey, lower(substring(primary_disease, 1, 2)) AS disease_icd FROM rx_log)),
 lf AS (SELECT sdk, lower(trim(icd_code)) AS icd_code, arg_min(drug_name, pos) AS drug_name, arg_min(disease_name, pos) AS disease_name,
   arg_min(coverage_type, pos) AS first_type, arg_min(treatment_note, pos) AS first_note, min(pos) AS pos,
   arg_max(treatment_note, pos) AS treatment_note, arg_max(coverage_type, pos) AS coverage_type FROM lr GROUP BY 1, 2)"""
 
 
 def _link_requests(spark, sf):
-    rows = d.rx_log(spark, sf).where("order_id % 50 = 7").select(
+    rows = d.rx_log(spark, sf).select(
         "pos", "drug_name", F.lower(F.substring("primary_disease", 1, 2)).alias("code"), "classification",
         F.substring("pos", 15, 12).cast("bigint").alias("part"))
     return rows.select(

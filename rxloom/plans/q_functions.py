@@ -24,7 +24,7 @@ SELECT doc_id, md5({d.sql_norm('text')}) AS kb_key, md5({d.sql_norm('text', 'cla
        length({d.sql_norm('text')}) AS n FROM documents""")
 def normalize_documents(spark, sf):
     kb = text.normalize_text(F.col("text"))
-    return d.table(spark, sf, "documents", heavy=True).select(
+    return d.table(spark, sf, "documents").select(
         "doc_id", F.md5(kb).alias("kb_key"),
         F.md5(text.normalize_for_matching(F.col("text"), "claims")).alias("claims_key"), F.length(kb).alias("n"))
 
@@ -52,7 +52,7 @@ def compound_names(spark, sf):
 @query("search_prefix", "F5", """
 SELECT doc_id, trim(regexp_extract(text, '^[a-zA-Z ]*')) AS prefix FROM documents""")
 def search_prefix(spark, sf):
-    return d.table(spark, sf, "documents", heavy=True).select(
+    return d.table(spark, sf, "documents").select(
         "doc_id", text.normalize_for_search(F.col("text"), LATIN).alias("prefix"))
 
 
@@ -162,7 +162,7 @@ SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(
   regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
   '\s+', ' ', 'g'))) AS body FROM pages""")
 def html_text(spark, sf):
-    return d.table(spark, sf, "pages", heavy=True).select("page_id", F.md5(refine.clean_html(F.col("html"))).alias("body"))
+    return d.table(spark, sf, "pages").select("page_id", F.md5(refine.clean_html(F.col("html"))).alias("body"))
 
 
 BOXED = "CASE p_size % 4 WHEN 0 THEN p_name || ' (hộp ' || p_size || ' vỉ) -' WHEN 1 THEN p_name || ' (Box of ' || p_size || ')' WHEN 2 THEN p_name || ' ' || p_size || 'mg strong' ELSE p_name END"
@@ -204,7 +204,7 @@ SQL_FOLDED = r"trim(regexp_replace(replace(replace(strip_accents(lower(text)), '
        + ", ".join(rf"CASE WHEN regexp_matches(section, '\b{t}\b') THEN '{t}' END" for t in sorted(DOC_TERMS))
        + "], lambda x: x IS NOT NULL), ', ') AS terms FROM c")
 def indication_summary(spark, sf):
-    rows = d.table(spark, sf, "documents", heavy=True).select("doc_id", refine.indication_section(F.col("text"), DOC_STOPS).alias("section"))
+    rows = d.table(spark, sf, "documents").select("doc_id", refine.indication_section(F.col("text"), DOC_STOPS).alias("section"))
     return rows.select("doc_id", F.md5("section").alias("section"), refine.indication_terms(F.col("section"), DOC_TERMS).alias("terms"))
 
 
@@ -213,7 +213,7 @@ LEAFLET = ("p_name || CASE p_size % 4 WHEN 0 THEN '\nSDK: VN-' || (10000 + p_par
            "'\nThành phần: ' || p_type || '\nNhà sản xuất: ' || p_brand || '\n'")
 
 
-@query("leaflet_fields", "F21 F22", rf"""
+@query("leaflet_fields", "F21", rf"""
 WITH s AS (SELECT p_partkey AS id, replace({LEAFLET.replace(chr(10), '~')}, '~', chr(10)) AS t FROM part),
 r AS (SELECT id, t, coalesce(nullif(regexp_extract(t, '(?i)(?:SĐK|Số đăng ký|SDK|Reg\.No)[:\.]?\s*([A-Z0-9\-\/]{{5,20}})', 1), ''),
  nullif(regexp_extract(t, '(?i)(VN-\d{{4,10}}-\d{{2}}|VD-\d{{4,10}}-\d{{2}}|QLD-\d+-\d+|GC-\d+-\d+|VNA-\d+-\d+|VNB-\d+-\d+)', 1), ''),
@@ -230,6 +230,11 @@ def leaflet_fields(spark, sf):
         info["cong_ty_san_xuat"].alias("maker"), extract.page_sdk(F.col("raw")).alias("page_sdk"))
 
 
+# Written out here, so that a wrong list in the engine does not pass.
+EXCLUDE = ["/search", "/drgsearch", "/category", "/danh-muc", "/tim-kiem", "/kết-quả", "/ketqua", "?q=", "?s="]
+INCLUDE = ["/thuoc-", "/thuoc/", "/product/", "/san-pham/", "/detail/", "/chi-tiet/", "products/detail"]
+
+
 def _sql_url(exclude, include):
     no = " OR ".join(f"contains(lower(url), '{x}')" for x in exclude)
     yes = " OR ".join(f"contains(lower(url), '{x}')" for x in include)
@@ -243,8 +248,8 @@ URLS = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '?srsltid=a' WHEN 1
 WITH u AS ({URLS})
 SELECT page_id, split_part(split_part(url, '#', 1), '?srsltid=', 1) AS cleaned,
   contains(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'example.com')::INT AS allowed,
-  {_sql_url(extract.URL_EXCLUDE, extract.URL_INCLUDE)} AS detail,
-  {_sql_url(extract.URL_EXCLUDE_STRICT, extract.URL_INCLUDE_STRICT)} AS detail_strict FROM u""")
+  {_sql_url(EXCLUDE, INCLUDE)} AS detail,
+  {_sql_url(EXCLUDE[:4], INCLUDE[:2])} AS detail_strict FROM u""")
 def url_rules(spark, sf):
     url = F.col("url")
     return _urls(spark, sf).select(
@@ -255,7 +260,7 @@ def url_rules(spark, sf):
 
 
 def _urls(spark, sf):
-    return d.table(spark, sf, "pages", heavy=True).selectExpr(
+    return d.table(spark, sf, "pages").selectExpr(
         "page_id", URLS[URLS.index("CASE"):URLS.index(" AS url")] + " AS url", "html")
 
 
@@ -266,7 +271,7 @@ k AS (SELECT *, list_filter(regexp_split_to_array(keyword, '[\s\-\(\)mg]+'), lam
 SELECT page_id, (len(tokens) = 0 OR len(list_filter(tokens, lambda x: contains(lower(title), lower(x)) OR contains(lower(url), lower(x)))) > 0)::INT AS relevant
 FROM k""")
 def page_relevance(spark, sf):
-    rows = d.table(spark, sf, "pages", heavy=True).select(
+    rows = d.table(spark, sf, "pages").select(
         "page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.when(F.col("page_id") % 3 == 0, "the-mg (xx)").otherwise("Que (des)").alias("keyword"))
     return rows.select("page_id", extract.is_relevant_page(F.col("keyword"), F.col("title"), F.col("url")).cast("int").alias("relevant"))
@@ -372,15 +377,23 @@ LOGGED = ("CASE event_id % 3 WHEN 0 THEN '{\"results\": [{\"category\": \"drug\"
           "WHEN 1 THEN '{\"summary\": {\"matched_items\": ' || (user_id % 7) || ', \"unmatched_claims\": 2}}' ELSE 'not json' END")
 
 
-@query("logged_counts", "F38", """
+@query("logged_counts", "F38", f"""
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN user_id % 7 ELSE 0 END::INT AS matched_count,
-  CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS unmatched_count, length(html) AS body_length
-FROM events JOIN pages ON page_id = event_id""")
+  CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS unmatched_count, length({LOGGED}) AS body_length, length(props) AS props_length
+FROM events""")
 def logged_counts(spark, sf):
     rows = d.table(spark, sf, "events").selectExpr(
-        "event_id", f"{LOGGED} AS body",
+        "event_id", "props", f"{LOGGED} AS body",
         "CASE event_id % 3 WHEN 0 THEN '/api/v1/consult_integrated' ELSE '/api/v1/mapping/match' END AS endpoint")
-    rows = rows.join(d.table(spark, sf, "pages", heavy=True), F.col("event_id") == F.col("page_id"))
     c = fields.logged_counts(F.col("endpoint"), F.col("body"))
     return rows.select("event_id", c["matched_count"].alias("matched_count"), c["unmatched_count"].alias("unmatched_count"),
-                       F.length(fields.stored_body(F.col("html"))).alias("body_length"))
+                       F.length(fields.stored_body(F.col("body"))).alias("body_length"), F.length(fields.stored_body(F.col("props"), 100_000)).alias("props_length"))
+
+
+@query("page_usage", "F22", r"""
+WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body, length(ltrim(text)) AS raw FROM documents)
+SELECT doc_id, md5(CASE WHEN length(body) >= 9 THEN body ELSE 'Not Found' END) AS whole,
+  md5(CASE WHEN length(body) >= 9 AND raw < 1500 THEN substring(body, 1, 400) || '...' ELSE 'Not Found' END) AS report FROM s""")
+def page_usage(spark, sf):
+    text = F.concat(F.lit("Chỉ định: "), "text", F.lit("\nLiều dùng: 1"))
+    return d.table(spark, sf, "documents").select("doc_id", F.md5(extract.page_usage(text)).alias("whole"), F.md5(extract.page_usage(text, 400)).alias("report"))

@@ -175,20 +175,24 @@ def duplicate_groups(spark, sf):
     return quality.duplicate_groups(_crawl(spark, sf), "so_dang_ky")
 
 
-@query("catalogue_enrich", "M3", f"""WITH {d.DRUGS}, {DEDUPED},
-rec AS (SELECT so_dang_ky, ten_thuoc, CASE WHEN lower(noi_dung_dieu_tri) <> 'nan' THEN nullif(noi_dung_dieu_tri, '') END AS chi_dinh,
+@query("catalogue_enrich", "M3", f"""WITH {d.DRUGS}, crawl AS ({CRAWL}),
+rec0 AS (SELECT pos, so_dang_ky, trim(ten_thuoc) AS ten_thuoc, CASE WHEN lower(noi_dung_dieu_tri) <> 'nan' THEN nullif(noi_dung_dieu_tri, '') END AS chi_dinh,
   CASE WHEN coalesce(ham_luong, '') <> '' AND NOT contains(hoat_chat, ham_luong) THEN trim(hoat_chat || ' ' || ham_luong) ELSE hoat_chat END AS hoat_chat,
   CASE WHEN danh_muc <> '' AND lower(danh_muc) <> 'nan' THEN 'Nhóm: ' || danh_muc ELSE '' END AS note
-  FROM deduped WHERE coalesce(so_dang_ky, '') <> '')
+  FROM crawl WHERE coalesce(so_dang_ky, '') <> ''),
+rec AS (SELECT so_dang_ky, arg_min(ten_thuoc, pos) AS ten_thuoc, arg_min(hoat_chat, pos) AS hoat_chat, arg_min(chi_dinh, pos) FILTER (chi_dinh <> '') AS chi_dinh,
+  coalesce(arg_min(note, pos) FILTER (note <> ''), '') AS note, arg_max(ten_thuoc || ' ' || hoat_chat, pos) AS last_text FROM rec0 GROUP BY 1)
 SELECT coalesce(o.so_dang_ky, r.so_dang_ky) AS so_dang_ky, coalesce(o.ten_thuoc, r.ten_thuoc) AS ten_thuoc,
   CASE WHEN o.id IS NULL THEN r.hoat_chat ELSE o.hoat_chat END AS hoat_chat,
   coalesce(nullif(o.chi_dinh, ''), r.chi_dinh) AS chi_dinh, coalesce(nullif(o.note, ''), CASE WHEN o.id IS NULL THEN r.note ELSE nullif(r.note, '') END) AS note,
-  CASE WHEN r.so_dang_ky IS NOT NULL THEN {d.sql_norm("r.ten_thuoc || ' ' || r.hoat_chat")} ELSE o.search_text END AS search_text,
+  CASE WHEN r.so_dang_ky IS NOT NULL THEN {d.sql_norm("r.last_text")} ELSE o.search_text END AS search_text,
   CASE WHEN o.id IS NULL THEN 'inserted' WHEN r.so_dang_ky IS NOT NULL THEN 'updated' ELSE 'kept' END AS outcome
 FROM drugs o FULL JOIN rec r ON o.so_dang_ky = r.so_dang_ky""")
 def catalogue_enrich(spark, sf):
-    records = catalogue.shape_records(quality.dedupe_by_completeness(_crawl(spark, sf), "so_dang_ky", "pos"))
-    return catalogue.enrich_by_sdk(d.drugs(spark, sf), records, d.now(), "import").select(
+    # Numbers repeat, and every second one is padded.
+    padded = F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), "so_dang_ky", F.lit(" "))).otherwise(F.col("so_dang_ky"))
+    records = catalogue.shape_records(_crawl(spark, sf).withColumns({"so_dang_ky": padded, "ten_thuoc": F.trim("ten_thuoc")}))
+    return catalogue.enrich_by_sdk(d.drugs(spark, sf), records, d.now(), "import", order="pos").select(
         "so_dang_ky", "ten_thuoc", "hoat_chat", "chi_dinh", "note", "search_text", "outcome")
 
 

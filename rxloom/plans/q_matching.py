@@ -206,7 +206,7 @@ diagnoses AS (SELECT o_orderkey AS request_id, 0 AS pos, ' ' || chr((65 + o_cust
 
 
 def _items(spark, sf):
-    li = d.table(spark, sf, "lineitem", heavy=True)
+    li = d.table(spark, sf, "lineitem")
     return li.join(d.messy_names(spark, sf), F.col("l_partkey") == F.col("item_id")).select(
         F.col("l_orderkey").alias("request_id"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"), "name")

@@ -16,7 +16,7 @@ BLOCK = ("'<div>Số đăng ký</div><div>: VN-' || p_partkey || '</div><table><
 
 def _drug_pages(spark, sf):
     p = d.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    rows = d.table(spark, sf, "pages", heavy=True).join(p, F.col("page_id") == F.col("p_partkey"))
+    rows = d.table(spark, sf, "pages").join(p, F.col("page_id") == F.col("p_partkey"))
     return rows.selectExpr("page_id", "p_type", "p_brand", f"replace(html, '</article>', {BLOCK} || '</article>') AS html")
 
 
@@ -34,18 +34,20 @@ def page_ingredients(spark, sf):
     return pg.ingredient_rows(pg.extract_pages(_drug_pages(spark, sf)))
 
 
-@query("page_titles", "F25")
+# The title is the first h1 before it is closed or another block begins; references are decoded, white space is folded.
+@query("page_titles", "F25", r"""
+SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g')) AS ten_thuoc FROM pages""")
 def page_titles(spark, sf):
-    return pg.extract_pages(d.table(spark, sf, "pages", heavy=True)).select("page_id", "ten_thuoc", F.length("content").alias("n"))
+    return pg.extract_pages(d.table(spark, sf, "pages")).select("page_id", "ten_thuoc")
 
 
-CAND = """cand AS (SELECT p_name AS query, p_partkey AS pos, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'VN-' || (p_size % 4) END AS so_dang_ky, p_name AS ten_thuoc, p_type AS hoat_chat,
-  p_brand AS cong_ty_san_xuat, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'use ' || p_type END AS chi_dinh, 'form ' || p_size AS dang_bao_che FROM part WHERE p_name NOT LIKE 'red%' OR p_size % 3 = 0)"""
+CAND = """cand AS (SELECT p_name AS query, p_partkey AS pos, CASE WHEN p_size % 3 = 0 OR p_name LIKE 'red%' THEN '' ELSE 'VN-' || (p_size % 4) END AS so_dang_ky, p_name AS ten_thuoc, p_type AS hoat_chat,
+  p_brand AS cong_ty_san_xuat, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'use ' || p_type END AS chi_dinh, 'form ' || p_size AS dang_bao_che FROM part)"""
 
 
 def _candidates(spark, sf):
-    return d.table(spark, sf, "part").where("p_name NOT LIKE 'red%' OR p_size % 3 = 0").selectExpr(
-        "p_name AS query", "p_partkey AS pos", "CASE WHEN p_size % 3 = 0 THEN '' ELSE 'VN-' || (p_size % 4) END AS so_dang_ky", "p_name AS ten_thuoc",
+    return d.table(spark, sf, "part").selectExpr(
+        "p_name AS query", "p_partkey AS pos", "CASE WHEN p_size % 3 = 0 OR p_name LIKE 'red%' THEN '' ELSE 'VN-' || (p_size % 4) END AS so_dang_ky", "p_name AS ten_thuoc",
         "p_type AS hoat_chat", "p_brand AS cong_ty_san_xuat", "CASE WHEN p_size % 2 = 0 THEN '' ELSE 'use ' || p_type END AS chi_dinh", "'form ' || p_size AS dang_bao_che")
 
 

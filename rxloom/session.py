@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,23 +34,27 @@ def build_session(app: str = "rxloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, read from spark.checkpoint.dir.
+_STORED: list[str] = []
 
-    Only a local-mode session without that setting gets a temporary folder.
-    """
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, read from spark.checkpoint.dir."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="rxloom-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    return configured
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """For tests, benches and single-machine runs: name a temporary folder where none is set and the master is local."""
+    if not spark.conf.get(CHECKPOINT_CONF, None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="rxloom-"))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _STORED.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -62,15 +68,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, unit: int = 1 << 20) -> DataFrame:
-    """Spread an input of few splits over the cores before work that is heavy per row.
-
-    A file with one row group is one task however many cores there are. Inputs that
-    already give every core a split, and tiny ones, pass through unchanged.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = min(cores, size // unit)
-    enough = size >= cores * (32 << 20)
-    return df if enough or parts < 2 else df.repartition(parts)
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was stored inside; read or write results before that."""
+    first = len(_STORED)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in _STORED[first:]:
+            path = hadoop.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _STORED[first:]

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from rxloom.session import build_session  # noqa: E402
+from rxloom.session import build_session, use_local_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,5 +13,6 @@ def spark():
     session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
                             spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
+    use_local_folder(session)
     yield session
     session.stop()

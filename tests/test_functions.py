@@ -81,7 +81,12 @@ def test_roles(spark):
 
 def test_page_functions(spark):
     body = "Công dụng: giúp hạ sốt nhanh\n\n và giảm đau Liều dùng: 2 viên"
-    assert values(spark, [body, "none"], extract.page_usage) == ["giúp hạ sốt nhanh và giảm đau...", "Not Found"]
+    assert values(spark, [body, "none"], extract.page_usage) == ["giúp hạ sốt nhanh và giảm đau", "Not Found"]
+    assert values(spark, [body, "none"], lambda c: extract.page_usage(c, 400)) == ["giúp hạ sốt nhanh và giảm đau...", "Not Found"]
+    long = "Chỉ định: " + "a" * 5000 + " Liều dùng: 1"
+    assert [len(x) for x in values(spark, [long], extract.page_usage)] == [5000]
+    assert values(spark, ["x" * 100_001], fields.stored_body) == ["x" * 100_001]
+    assert values(spark, ["x" * 100_001], lambda c: fields.stored_body(c, 100_000)) == ["x" * 100_000]
     assert values(spark, ["SĐK: VN-12345-10 ok", "Số đăng ký: AB/99", "x"], extract.page_sdk) == ["VN-12345-10", "AB/99", "Not Found"]
     assert values(spark, ["<p>a&nbsp;&eacute; <b>b</b></p>"], lambda c: refine.clean_html(c, True)) == ["a é b"]
     section = "Thuốc trị sốt, đau đầu. La thuoc nhóm A. viêm họng"
