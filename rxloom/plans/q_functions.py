@@ -392,8 +392,8 @@ def logged_counts(spark, sf):
 
 @query("page_usage", "F22", r"""
 WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body, length(ltrim(text)) AS raw FROM documents)
-SELECT doc_id, md5(CASE WHEN length(body) >= 9 THEN body ELSE 'Not Found' END) AS whole,
-  md5(CASE WHEN length(body) >= 9 AND raw < 1500 THEN substring(body, 1, 400) || '...' ELSE 'Not Found' END) AS report FROM s""")
+SELECT doc_id, md5(found) AS whole, md5(CASE WHEN raw < 1500 THEN substring(found, 1, 400) || '...' ELSE 'Not Found' END) AS report
+FROM (SELECT doc_id, raw, CASE WHEN raw >= 9 THEN body ELSE body || ' Liều dùng: 1' END AS found FROM s)""")
 def page_usage(spark, sf):
     text = F.concat(F.lit("Chỉ định: "), "text", F.lit("\nLiều dùng: 1"))
     return d.table(spark, sf, "documents").select("doc_id", F.md5(extract.page_usage(text)).alias("whole"), F.md5(extract.page_usage(text, 400)).alias("report"))
