@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxloom.functions.fields import first_filled
 from rxloom.schemas import CONSULT_REQUEST_DDL, MATCH_REQUEST_DDL
@@ -24,6 +26,7 @@ LOG_ALIASES = {
 ICD_POSITIONS = {"id": 0, "icd_code": 10, "chapter_name": 14, "slug": 15, "disease_name": 16}
 # ----------------------------------------------------------------------------
 BOM = "﻿"
+END_MARK = "\1"  # a value of no file
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
@@ -69,13 +72,26 @@ def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return dict(groups)
 
 
+def _is_short(raw: Column, fields: int) -> Column:
+    """Whether a row that does not fit the header has fewer fields: a mark after its last field is still among them."""
+    schema = ", ".join(f"c{i} string" for i in range(fields + 1))
+    parsed = F.from_csv(F.concat(raw, F.lit("," + END_MARK)), schema, {"multiLine": "true", "quote": '"', "escape": '"'})
+    return F.array_contains(F.array(*[parsed[f"c{i}"] for i in range(fields + 1)]), END_MARK)
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """All catalogue CSV files under `path` as strings: bad lines dropped, missing columns null."""
+    """All catalogue CSV files under `path` as strings.
+
+    Rows with more fields than the header are skipped, rows with fewer are filled up with nulls; columns that a
+    file lacks are null.
+    """
     frames = []
-    for files in files_by_header(spark, path).values():
-        df = spark.read.options(**_CSV, mode="DROPMALFORMED").csv(files)
-        named = [c.lstrip(BOM).strip() for c in df.columns]
-        frames.append(df.withColumn("pos", input_position()).toDF(*named, "pos"))
+    for header, files in files_by_header(spark, path).items():
+        named = [c.lstrip(BOM).strip() for c in next(csv.reader([header]))]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*named, "_raw"]])
+        df = spark.read.schema(schema).options(**_CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw").csv(files)
+        df = df.withColumn("pos", input_position()).where(F.col("_raw").isNull() | _is_short(F.col("_raw"), len(named)))
+        frames.append(df.drop("_raw"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -89,9 +105,9 @@ def read_icd_list(spark: SparkSession, path: str, columns: int = 24) -> DataFram
     return out.where("id != '' AND icd_code != ''").withColumns({"search_text": text, "is_active": F.lit("active")})
 
 
-def read_match_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Reconciliation request documents -> flat claims and purchases."""
-    docs = spark.read.schema(MATCH_REQUEST_DDL).json(path, multiLine=True)
+def read_match_requests(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Reconciliation request documents -> flat claims and purchases. With `lines`, a document a line, files can be split."""
+    docs = spark.read.schema(MATCH_REQUEST_DDL).json(path, multiLine=not lines)
 
     def flat(items: Column, id_name: str) -> DataFrame:
         rows = docs.select("request_id", F.posexplode(items).alias("pos", "i"))
@@ -103,9 +119,9 @@ def read_match_requests(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return flat(F.col("claims"), "claim_id"), flat(F.coalesce("medicine", "medicines"), "medicine_id")
 
 
-def read_consult_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Consultation request documents -> flat items and diagnoses."""
-    docs = spark.read.schema(CONSULT_REQUEST_DDL).json(path, multiLine=True)
+def read_consult_requests(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Consultation request documents -> flat items and diagnoses. With `lines`, a document a line, files can be split."""
+    docs = spark.read.schema(CONSULT_REQUEST_DDL).json(path, multiLine=not lines)
     items = docs.select("request_id", F.explode("items").alias("i")).select(
         "request_id", F.col("i.id").alias("item_id"), F.col("i.name").alias("name"))
     diagnoses = docs.select("request_id", F.posexplode("diagnoses").alias("pos", "x")).select("request_id", "pos", "x.code")

@@ -57,6 +57,11 @@ def append_by_day(df: DataFrame, path: str, ts: str) -> None:
     df.withColumn("date", F.to_date(ts)).write.mode("append").partitionBy("date").parquet(path)
 
 
+def summarise_days(log: DataFrame, by: str, sums: dict[str, Column]) -> DataFrame:
+    """Running summary of a log kept by day: per day and `by`, the number of rows and the given sums."""
+    return log.groupBy("date", by).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in sums.items()])
+
+
 def append_archive(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

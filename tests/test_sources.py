@@ -51,11 +51,12 @@ def test_export_header(spark, tmp_path):
 
 def test_catalogue_files(spark, tmp_path):
     (tmp_path / "x.csv").write_text("﻿so_dang_ky,ten_thuoc,hoat_chat\nVN-1,A,aa\nVN-1,A,bb\n", encoding="utf-8")
-    (tmp_path / "y.csv").write_text("so_dang_ky,ten_thuoc,danh_muc\nVN-2,B,cc\nbroken\n", encoding="utf-8")
+    (tmp_path / "y.csv").write_text("so_dang_ky,ten_thuoc,danh_muc\nVN-2,B,cc\nVN-3,C\nVN-4,D,x,y\nVN-5,E,x,\nbroken\n", encoding="utf-8")
     rows = files.read_catalogue(spark, str(tmp_path))
     assert set(rows.columns) == {"so_dang_ky", "ten_thuoc", "hoat_chat", "danh_muc", "pos"}
     loaded = reload_catalogue(rows.where("ten_thuoc IS NOT NULL"), "crawl", "pos").orderBy("so_dang_ky").collect()
-    assert [(r.so_dang_ky, r.hoat_chat, r.note) for r in loaded] == [("VN-1", "aa", ""), ("VN-2", "", "Group: cc")]
+    assert [(r.so_dang_ky, r.hoat_chat, r.note) for r in loaded] == [("VN-1", "aa", ""), ("VN-2", "", "Group: cc"), ("VN-3", "", "")]
+    assert {r.so_dang_ky for r in rows.collect()} == {"VN-1", "VN-2", "VN-3", "broken"}
 
 
 def test_icd_list(spark, tmp_path):

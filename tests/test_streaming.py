@@ -26,10 +26,15 @@ def test_ingest_folds_files_and_ignores_replays(spark, tmp_path):
     run("cp")
     got = {(r.drug_name_norm, r.disease_icd): (r.frequency, r.disease_ref_id) for r in table.read().collect()}
     assert got == {("zinc", "r51"): (3, "d1"), ("iron", "j00"): (1, None)}
-    stats = spark.read.parquet(str(tmp_path / "stats")).orderBy("epoch").collect()
+    stats = spark.read.parquet(str(tmp_path / "stats")).orderBy("version").collect()
     assert [(s.total, s.errors, s.inserted, s.updated) for s in stats] == [(3, 1, 1, 1), (2, 0, 1, 1)]
-    run("cp-lost")  # a lost checkpoint replays the first epochs, which the snapshot already holds
+    run("cp-lost")  # a lost checkpoint replays files that the snapshot already holds
     assert sum(r.frequency for r in table.read().collect()) == 4
+    for old in ("a.csv", "b.csv"):
+        (inbox / old).unlink()
+    (inbox / "c.csv").write_text(",".join(HEADER) + "\nGold,R51 - Đau,valid\n", encoding="utf-8")
+    run("cp-new")  # epochs begin again at 0, with a file that is new
+    assert sum(r.frequency for r in table.read().collect()) == 5
 
 
 def test_window_metrics(spark, tmp_path):
