@@ -8,7 +8,9 @@ m and n characters. For r >= t:
   strings share at least LCS - (q-1)(d+1) aligned q-grams. Written in s = m+n that is
   s*(t/2 - (q-1)(1-t)) - (q-1), smallest for the shortest partner;
 * an aligned gram at positions i and j leaves room for at most
-  min(i,j) + q + min(m-i-q, n-j-q) matched characters, which must reach t*s/2.
+  min(i,j) + q + min(m-i-q, n-j-q) matched characters, which must reach t*s/2;
+* LCS is at most the number of characters the strings have in common, counted with
+  multiplicity, so twice that number must reach t*s.
 
 If two strings share at least k aligned grams, then with both gram lists in one fixed
 order the rarest of those shared grams survives when each side drops its last k-1 grams
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from rxloom.functions.similarity import sorted_ratio
 
 FREQUENT_GRAMS = 128
+# Characters counted one by one for the common-character bound; all others count as one.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+_SLOT = 3  # occurrences per character that a signature tells apart
 _EPS = 1e-9
 
 
@@ -67,6 +72,26 @@ def _frequent_grams(df: DataFrame, text: str, q: int) -> DataFrame:
     return top.agg(F.array_join(listed, "\x01").alias("often"))
 
 
+def _signature(text: Column) -> dict[str, Column]:
+    """Character counts of a string: `_lo` and `_hi` with up to three bits set per character, `_over` what goes beyond.
+
+    Common characters of two strings are at most the bits set in both, plus the smaller `_over`.
+    """
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
+    counts.append(F.length(F.translate(text, COUNTED, "")))
+    bits = [(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(_SLOT))) - 1) for n in counts]
+    half = len(counts) // 2
+
+    def packed(part: list[Column]) -> Column:
+        out = F.lit(0).cast("long")
+        for i, b in enumerate(part):
+            out = out + b * F.lit(1 << (_SLOT * i)).cast("long")
+        return out
+
+    lo, hi = packed(bits[:half]), packed(bits[half:])
+    return {"_lo": lo, "_hi": hi, "_over": F.length(text) - F.bit_count(lo) - F.bit_count(hi)}
+
+
 def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: dict[int, DataFrame]) -> DataFrame:
     """One row per prefix gram: the rarest grams of a string, among which a shared one must be."""
     m2 = _bigram_min_length(t)
@@ -93,38 +118,42 @@ def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: di
         return F.coalesce(kept, F.array().cast("array<struct<n:int,gram:string,pos:int>>"))
 
     kept = [prefix(q) for q, _ in classes]
-    rows = rows.select(text, F.concat(*kept).alias("_grams"))
+    signature = _signature(F.col(text))
+    rows = rows.select(text, F.concat(*kept).alias("_grams"), *[c.alias(name) for name, c in signature.items()])
     if keys:
         rows = df.join(rows, text)
     # explode_outer: explode would infer a size filter that inlines the whole array expression
-    return rows.select(*keys, text, F.explode_outer("_grams").alias("_g")).select(
-        *keys, text, F.col("_g.gram").alias("gram"), F.col("_g.pos").alias("pos")).where("gram IS NOT NULL")
+    return rows.select(*keys, text, *signature, F.explode_outer("_grams").alias("_g")).select(
+        *keys, text, *signature, F.col("_g.gram").alias("gram"), F.col("_g.pos").alias("pos")).where("gram IS NOT NULL")
 
 
-def fuzzy_pairs(
-    left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str] | None = None
-) -> DataFrame:
-    """All pairs of distinct token-sorted strings with similarity >= `threshold` (0..100).
-
-    `left` and `right` hold one row per (block, text). Returns block, l_text, r_text, score.
-    """
+def candidate_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str] | None = None) -> DataFrame:
+    """Distinct (block, l_text, r_text) that pass every bound: all pairs with similarity >= `threshold`, and few others."""
     block = block or []
     t = threshold / 100.0
     m2 = _bigram_min_length(t)
     frequent = {q: _frequent_grams(right, r_text, q) for q in (1, 2)}
-    lg = _gram_rows(left, block, l_text, t, frequent).withColumnRenamed("pos", "l_pos")
-    rg = _gram_rows(right, block, r_text, t, frequent).withColumnRenamed("pos", "r_pos")
+    own = ["pos", "_lo", "_hi", "_over"]
+    lg = _gram_rows(left, block, l_text, t, frequent).withColumnsRenamed({c: f"l{c}" for c in own})
+    rg = _gram_rows(right, block, r_text, t, frequent).withColumnsRenamed({c: f"r{c}" for c in own})
     m, n, q = F.length(l_text), F.length(r_text), F.length("gram")
     half = (m + n) * (t / 2) - _EPS
     near = F.least(m, n) >= F.greatest(m, n) * (t / (2 - t)) - _EPS
     by_length = (q == 2) | (F.least(m, n) < m2) if m2 else F.lit(True)
-    room = F.least("l_pos", "r_pos") + q + F.least(m - F.col("l_pos") - q, n - F.col("r_pos") - q)
-    pairs = (
-        lg.join(rg, [*block, "gram"])
-        .where(near & by_length & (room >= half))
-        .select(*block, l_text, r_text)
-        .distinct()
-    )
+    room = F.least("lpos", "rpos") + q + F.least(m - F.col("lpos") - q, n - F.col("rpos") - q)
+    common = (F.bit_count(F.col("l_lo").bitwiseAND(F.col("r_lo"))) + F.bit_count(F.col("l_hi").bitwiseAND(F.col("r_hi"))) + F.least("l_over", "r_over"))
+    return (lg.join(rg, [*block, "gram"]).where(near & by_length & (common >= half) & (room >= half))
+            .select(*block, l_text, r_text).distinct())
+
+
+def fuzzy_pairs(
+    left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str] | None = None
+) -> DataFrame:
+    """All pairs of distinct token-sorted strings with similarity >= `threshold` (0..100).
+
+    `left` and `right` hold one row per (block, text). Returns block, l_text, r_text, score.
+    """
+    pairs = candidate_pairs(left, right, l_text, r_text, threshold, block)
     return pairs.withColumn("score", sorted_ratio(F.col(l_text), F.col(r_text))).where(F.col("score") >= threshold)
 
 
