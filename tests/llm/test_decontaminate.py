@@ -28,10 +28,10 @@ def naive(docs, items, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("broadcast", [2_000_000, 0])
-def test_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(d, "BROADCAST_TERMS", broadcast)
-    monkeypatch.setattr(d, "DOCS_AT_ONCE", 7)
+@pytest.mark.parametrize("at_once", [100_000, 20])
+def test_against_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(d, "WINDOWS_AT_ONCE", at_once)
+    monkeypatch.setattr(d, "SEGMENT_DOCS", 7)
     rng = random.Random(6)
     letters = ["a", "b", "c", "É", "x1", "the"]
     items = [(i, " ".join(rng.choices(letters, k=rng.randint(0, 7)))) for i in range(14)] + [(14, None), (15, "never seen"), (3, "c c c c")]
@@ -46,12 +46,16 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
 def test_proximity_within_the_slop(spark):
     docs = spark.createDataFrame([(1, "p q r s t"), (2, "p q x r s t"), (3, "p q x y z r s t"), (4, "t s r q p")], "doc_id long, text string")
     windows = d.benchmark_windows(spark.createDataFrame([(9, "p q r s t")], "item_id long, text string"), "item_id", "text", 5)
-    index = d.build_index(docs, "doc_id", "text", windows)
-    names = {r["doc"]: r["key"] for r in index.where("term IS NULL").collect()}
+    asked = d.Queries(windows.collect())
+    index = d.build_index(docs, "doc_id", "text", asked.vocabulary)
+    counts = d.term_counts(index, len(asked.vocabulary))
+    assert counts.tolist() == [4, 4, 4, 4, 4]
+    asked.order_by(counts)
+    names = {r["doc"]: r["key"] for r in index.where("n_words IS NOT NULL").collect()}
 
     def found(slop):
         best = {}
-        for r in d.find_matches(index, windows, slop).collect():
+        for r in d.find_matches(index, asked, windows.schema["item"].dataType, slop).collect():
             best[names[r["doc"]]] = min(best.get(names[r["doc"]], 99), r["drift"])
         return best
 
