@@ -34,8 +34,10 @@ GRAM = 48
 SEGMENT = 1 << 20
 #: Anchors held by a task before copies among them are combined and passed on.
 HELD_ANCHORS = 300_000
-#: Contexts put in order in one go; an anchor's contexts stay together.
+#: Contexts put in order in one go.
 CONTEXTS = 20_000
+#: Contexts of an anchor that stay together; with more, every two chunks of them meet in a cell of their own.
+CHUNK = 4096
 
 BASE = 0x9E3779B97F4A7C15
 TIE = np.uint64((1 << 24) - 1)
@@ -287,12 +289,21 @@ def expand(group: np.ndarray, left: list[bytes], right: list[bytes], length: int
     return nearest, farthest
 
 
+def deal_cells(wanted: DataFrame) -> DataFrame:
+    """Contexts with the cells they are compared in: one for most anchors; of an anchor in c chunks, the c that hold its chunk."""
+    sizes = wanted.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1")
+    dealt = wanted.join(sizes, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("th", "pos"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    return dealt.withColumn("own", own).withColumn("other", other).withColumn(
+        "cell", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
+
+
 def fetch_contexts(docs: DataFrame, wanted: DataFrame, kind: T.DataType, length: int, gram: int) -> DataFrame:
     """The bytes around each wanted anchor, read from its document once for all its anchors."""
-    lists = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("h", "pos", "n")).alias("wanted"))
+    lists = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("cell", "h", "pos", "n")).alias("wanted"))
     a, b = docs.alias("a"), lists.alias("b")
     joined = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th"))).select("a.key", "a.th", "a.text", "b.wanted")
-    names = ["h", "n", "key", "th", "pos", "before", "after"]
+    names = ["cell", "h", "n", "key", "th", "pos", "before", "after"]
     kinds = {"key": kind, "before": T.BinaryType(), "after": T.BinaryType()}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in names])
 
@@ -301,7 +312,7 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, kind: T.DataType, length:
             lists_ = b.column(3)
             ends = np.asarray(lists_.offsets) - lists_.offsets[0].as_py()
             flat = lists_.flatten()
-            h, pos, n = (flat.field(i).to_numpy() for i in range(3))
+            cell, h, pos, n = (flat.field(i).to_numpy() for i in range(4))
             bodies = texts(b.column(2))
             for at in range(0, len(bodies), 500):
                 stop = min(at + 500, len(bodies))
@@ -309,7 +320,7 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, kind: T.DataType, length:
                 some = slice(ends[at], ends[stop])
                 cut = [(bodies[i][max(0, p - length + gram):p], bodies[i][p:p + length]) for i, p in zip(owner.tolist(), pos[some].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[some]), pa.array(n[some]), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)),
+                    [pa.array(cell[some]), pa.array(h[some]), pa.array(n[some]), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)),
                      pa.array(pos[some]), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names)
 
     return joined.mapInArrow(run, schema)
@@ -320,9 +331,9 @@ def expand_contexts(contexts: DataFrame, kind: T.DataType, length: int, gram: in
     schema = T.StructType([T.StructField("key", kind), *[T.StructField(c, T.LongType()) for c in ("th", "start", "stop")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, "h", CONTEXTS):
-            h, n, pos = (t.column(c).to_numpy() for c in ("h", "n", "pos"))
-            group = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+        for t in whole_runs(batches, "cell", CONTEXTS):
+            cell, h, n, pos = (t.column(c).to_numpy() for c in ("cell", "h", "n", "pos"))
+            group = np.cumsum(np.concatenate([[False], (cell[1:] != cell[:-1]) | (h[1:] != h[:-1])]))
             nearest, farthest = expand(group, t.column("before").to_pylist(), t.column("after").to_pylist(), length, gram)
             at = np.flatnonzero((nearest >= 0) & (n == 1))
             some = t.select(["key", "th"]).take(pa.array(at)).combine_chunks()
@@ -330,7 +341,7 @@ def expand_contexts(contexts: DataFrame, kind: T.DataType, length: int, gram: in
                               names=["key", "th", "start", "stop"]).to_batches():
                 yield r
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+    return contexts.repartition("cell").sortWithinPartitions("cell", "h").mapInArrow(run, schema)
 
 
 def repeated_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -340,7 +351,7 @@ def repeated_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
     kind = df.select(key).schema[0].dataType
     docs = keyed(df, key, text)
     sorted_ = materialise(sort_by_anchor(find_anchors(docs, kind, length, gram), kind), "anchors")
-    contexts = fetch_contexts(docs, sorted_.where("h IS NOT NULL"), kind, length, gram)
+    contexts = fetch_contexts(docs, deal_cells(sorted_.where("h IS NOT NULL")), kind, length, gram)
     spans = sorted_.where("h IS NULL").select("key", "th", "start", "stop").union(expand_contexts(contexts, kind, length, gram))
     return spans.groupBy("key", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

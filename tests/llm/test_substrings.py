@@ -36,6 +36,7 @@ def test_against_brute_force(spark, monkeypatch, length, gram, letters, segment)
     monkeypatch.setattr(s, "SEGMENT", segment)
     monkeypatch.setattr(s, "HELD_ANCHORS", 100)
     monkeypatch.setattr(s, "CONTEXTS", 50)
+    monkeypatch.setattr(s, "CHUNK", 4 if segment < 1 << 20 else 4096)
     rng = random.Random(length + len(letters))
     pool = ["".join(rng.choices(letters, k=rng.randint(10, 60))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choices(letters, k=rng.randint(1, 25))) for _ in range(rng.randint(0, 8))))
