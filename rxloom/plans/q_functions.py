@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rxloom.functions import extract, fields, refine, text
+from rxloom.functions.register import register_functions
 from rxloom.functions.similarity import add_text_similarity
 from rxloom.plans import domain as d
 from rxloom.plans.registry import query
@@ -397,3 +398,15 @@ FROM (SELECT doc_id, raw, CASE WHEN raw >= 9 THEN body ELSE body || ' Liều dù
 def page_usage(spark, sf):
     text = F.concat(F.lit("Chỉ định: "), "text", F.lit("\nLiều dùng: 1"))
     return d.table(spark, sf, "documents").select("doc_id", F.md5(extract.page_usage(text)).alias("whole"), F.md5(extract.page_usage(text, 400)).alias("report"))
+
+
+@query("sql_functions", "X1", f"""
+SELECT p_partkey AS id, {d.sql_norm(COMPOUND)} AS kb_key, {d.sql_norm(COMPOUND, 'claims')} AS claim_key, {sql_compound(COMPOUND)} AS drug_name,
+  CASE WHEN p_size = 0 OR p_retailprice = 0 THEN 0.5 ELSE greatest(0.0::DOUBLE, 1 - abs(p_size - p_retailprice) / greatest(p_size, p_retailprice)) END::DOUBLE AS amount,
+  CASE WHEN p_size >= 42.5 THEN 'matched' WHEN p_size >= 35 THEN 'partially_matched' WHEN p_size > 25 THEN 'weak_match' ELSE 'no_match' END AS status,
+  CASE WHEN p_size >= 42.5 THEN 'auto_approved' WHEN p_size > 25 THEN 'manual_review' ELSE 'rejected' END AS decision FROM part""")
+def sql_functions(spark, sf):
+    register_functions(spark)
+    _part(spark, sf, COMPOUND).createOrReplaceTempView("sql_function_rows")
+    return spark.sql("""SELECT id, normalize_text(raw) AS kb_key, normalize_claim_name(raw) AS claim_key, normalize_drug_name(raw) AS drug_name,
+        amount_similarity(p_size, p_retailprice) AS amount, match_status(p_size / 50) AS status, match_decision(p_size / 50) AS decision FROM sql_function_rows""")
