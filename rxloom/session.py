@@ -35,20 +35,23 @@ def build_session(app: str = "rxloom", master: str | None = None, **conf: str) -
 
 
 _STORED: list[str] = []
+_LOCAL: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, read from spark.checkpoint.dir."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if not configured:
+    if configured:
+        return configured
+    if not _LOCAL:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    return configured
+    return _LOCAL[0]
 
 
 def use_local_folder(spark: SparkSession) -> None:
     """For tests, benches and single-machine runs: name a temporary folder where none is set and the master is local."""
-    if not spark.conf.get(CHECKPOINT_CONF, None) and spark.sparkContext.master.startswith("local["):
-        spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="rxloom-"))
+    if not spark.conf.get(CHECKPOINT_CONF, None) and spark.sparkContext.master.startswith("local[") and not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="rxloom-"))
 
 
 def new_path(spark: SparkSession, label: str) -> str:

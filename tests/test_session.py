@@ -1,10 +1,12 @@
 import os
 import random
+from types import SimpleNamespace
 
 import pytest
 
+from rxloom import session
 from rxloom.operators.candidates import candidate_pairs
-from rxloom.session import CHECKPOINT_CONF, materialise, stored_tables, work_dir
+from rxloom.session import materialise, stored_tables
 
 
 def test_stored_tables_are_removed_at_the_end_of_their_scope(spark):
@@ -16,14 +18,18 @@ def test_stored_tables_are_removed_at_the_end_of_their_scope(spark):
     assert not os.path.exists(path) and kept.count() == 3
 
 
-def test_a_folder_has_to_be_named(spark):
-    old = spark.conf.get(CHECKPOINT_CONF)
-    spark.conf.unset(CHECKPOINT_CONF)
-    try:
-        with pytest.raises(RuntimeError, match=CHECKPOINT_CONF):
-            work_dir(spark)
-    finally:
-        spark.conf.set(CHECKPOINT_CONF, old)
+def test_a_folder_has_to_be_named(monkeypatch):
+    monkeypatch.setattr(session, "_LOCAL", [])
+    without = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.work_dir(without)
+    session.use_local_folder(without)
+    assert os.path.isdir(session.work_dir(without))
+    cluster = SimpleNamespace(conf=without.conf, sparkContext=SimpleNamespace(master="spark://a:1"))
+    monkeypatch.setattr(session, "_LOCAL", [])
+    session.use_local_folder(cluster)
+    with pytest.raises(RuntimeError):
+        session.work_dir(cluster)
 
 
 def test_few_of_all_pairs_reach_the_scorer(spark):
