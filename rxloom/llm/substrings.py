@@ -38,6 +38,8 @@ HELD_ANCHORS = 300_000
 CONTEXTS = 20_000
 #: Contexts of an anchor that stay together; with more, every two chunks of them meet in a cell of their own.
 CHUNK = 4096
+#: Up to so many anchors with more contexts are broadcast (16 bytes each).
+HOT_ANCHORS = 1_000_000
 
 BASE = 0x9E3779B97F4A7C15
 TIE = np.uint64((1 << 24) - 1)
@@ -291,7 +293,9 @@ def expand(group: np.ndarray, left: list[bytes], right: list[bytes], length: int
 
 def deal_cells(wanted: DataFrame) -> DataFrame:
     """Contexts with the cells they are compared in: one for most anchors; of an anchor in c chunks, the c that hold its chunk."""
-    sizes = wanted.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1")
+    sizes = materialise(wanted.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1"), "sizes")
+    # Few anchors are hot; sent to all tasks, they do not bring the rows of one together. Past the bound they are joined.
+    sizes = F.broadcast(sizes) if sizes.count() <= HOT_ANCHORS else sizes
     dealt = wanted.join(sizes, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own, other = F.pmod(F.xxhash64("th", "pos"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     return dealt.withColumn("own", own).withColumn("other", other).withColumn(
