@@ -328,8 +328,10 @@ def train(words: list[str], pages: int = LABELLED_PAGES, epochs: int = EPOCHS, s
 def sample_words(df: DataFrame, page: str, pages: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
     """Words of the pages with the smallest content hashes among those of at most `chars` characters."""
     hashed = df.select(F.col(page).alias("page")).where(F.length("page").between(1, chars)).select("page", F.xxhash64("page").alias("h"))
+    # The hashes are chosen first, so that a task sends numbers and not pages; copies of a page count once.
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(pages).collect()]
     found: set[str] = set()
-    for r in hashed.orderBy("h", "page").limit(pages).collect():
+    for r in hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("page").alias("page")).collect():
         for b in blocks_of(r["page"]):
             found.update(w for w in b.text.split() if CONTENT not in w)
     return sorted(found)
