@@ -8,6 +8,8 @@ likelihood is the product over its words and each distinct word is summed once p
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,34 +33,70 @@ ROUNDS = 3
 PART = 20
 #: Weight, in pieces, of the all-language distribution in each language's.
 PRIOR = 1000.0
-#: Words remembered per Python worker.
+#: Words remembered by a task, and documents whose words it looks up together.
 CACHE_WORDS = 300_000
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+DOCS_AT_ONCE = 500
+#: Letters and other numbers; words with such numbers are cut down to their letters.
+WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 
 
 class Pieces:
-    """The vocabulary as a map from string to number; the last number stands for any unknown character."""
+    """The vocabulary as a trie in one table, so that a batch of words walks it together.
+
+    Node 0 is dead and node 1 the root. `ends` gives the piece that ends at a node, or -1; a single character that
+    is no piece counts as the unknown piece, the last number.
+    """
 
     def __init__(self, model: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         ordinary = [sp.id_to_piece(i) for i in range(sp.get_piece_size())
                     if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         names = sorted({p.lower() for p in ordinary if p.strip(START) == "" or any(c.isalpha() for c in p)})
-        self.number = {p: i for i, p in enumerate(names)}
         self.unknown = len(names)
         self.count = len(names) + 1
-        self.longest = max(map(len, names))
-
-    @lru_cache(maxsize=None)  # noqa: B019
-    def spans(self, n: int) -> list[tuple[int, int]]:
-        return [(s, e) for e in range(1, n + 1) for s in range(max(0, e - self.longest), e)]
-
-    def lattice(self, words: list[str]) -> np.ndarray:
-        """Piece number of every span of words of one length, -1 where there is none."""
-        get, unknown = self.number.get, self.unknown
-        spans = self.spans(len(words[0]))
-        return np.array([[get(w[s:e], unknown if e - s == 1 else -1) for s, e in spans] for w in words], np.int64)
+        self.single = np.full(1 << 16, self.unknown, np.int32)
+        self.column = np.zeros(1 << 16, np.int16)
+        letters = sorted({c for p in names if len(p) > 1 for c in p if ord(c) < 1 << 16})
+        self.column[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        nodes: dict[tuple[int, int], int] = {}
+        ends = {}
+        for number, name in enumerate(names):
+            if len(name) == 1 and ord(name) < 1 << 16:
+                self.single[ord(name)] = number
+            if len(name) > 1 and all(ord(c) < 1 << 16 for c in name):
+                node = 1
+                for c in name:
+                    node = nodes.setdefault((node, int(self.column[ord(c)])), len(nodes) + 2)
+                ends[node] = number
+        self.next = np.zeros((len(nodes) + 2, len(letters) + 1), np.int32)
+        for (node, column), to in nodes.items():
+            self.next[node, column] = to
+        self.ends = np.full(len(nodes) + 2, -1, np.int32)
+        self.ends[list(ends)] = list(ends.values())
+
+    def spans(self, words: list[str]) -> list[tuple[int, int, np.ndarray | slice, np.ndarray]]:
+        """(start, end, rows, pieces) of all pieces in words of one length, by start."""
+        n = len(words[0])
+        points = np.minimum(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n), (1 << 16) - 1)
+        columns, single = self.column[points], self.single[points]
+        out: list[tuple[int, int, np.ndarray | slice, np.ndarray]] = []
+        for start in range(n):
+            out.append((start, start + 1, slice(None), single[:, start]))
+            rows = np.arange(len(words))
+            node = self.next[1, columns[:, start]]
+            for end in range(start + 1, n):
+                alive = np.flatnonzero(node)
+                if not len(alive):
+                    break
+                rows = rows[alive]
+                node = self.next[node[alive], columns[rows, end]]
+                found = self.ends[node]
+                is_piece = np.flatnonzero(found >= 0)
+                if len(is_piece):
+                    out.append((start, end + 1, rows[is_piece], found[is_piece]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -66,62 +104,71 @@ def pieces(model: str) -> Pieces:
     return Pieces(model)
 
 
-def parts(text: str) -> list[str]:
-    """Lower-case words with a start mark, in parts of bounded length."""
+def parts(word: str) -> list[str]:
+    """The letters of a word with a start mark, in parts of bounded length; nothing for a word without letters."""
     out = []
-    for w in WORD.findall(text.lower()):
-        w = START + w
-        out.extend([w] if len(w) <= PART else (w[i:i + PART] for i in range(0, len(w), PART)))
+    for x in (word,) if word.isalpha() else LETTERS.findall(word):
+        x = START + x
+        out.extend([x] if len(x) <= PART else (x[i:i + PART] for i in range(0, len(x), PART)))
+    return out
+
+
+def word_values(words: list[str], vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Log likelihoods of whole words per language, and a last column that is 1 for words with letters."""
+    owner, all_parts = [], []
+    for i, w in enumerate(words):
+        for x in parts(w):
+            owner.append(i)
+            all_parts.append(x)
+    out = np.zeros((len(words), prob.shape[1] + 1))
+    if all_parts:
+        np.add.at(out[:, :-1], owner, log_likelihoods(all_parts, vocabulary, prob))
+        out[owner, -1] = 1.0
     return out
 
 
-def forward(ids: np.ndarray, spans: list[tuple[int, int]], n: int, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: summed probability of all segmentations up to each position."""
-    alpha = np.zeros((len(ids), n + 1, prob.shape[1]))
-    alpha[:, 0] = 1.0
-    for k, (s, e) in enumerate(spans):
-        rows = np.flatnonzero(ids[:, k] >= 0)
-        if len(rows):
-            alpha[rows, e] += alpha[rows, s] * prob[ids[rows, k]]
+def same_length(words: list[str], at_once: int) -> Iterator[list[int]]:
+    """Places of words of one length, in groups of bounded size."""
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for places in by_length.values():
+        for at in range(0, len(places), at_once):
+            yield places[at:at + at_once]
+
+
+def forward(spans: list[tuple], words: int, n: int, prob: np.ndarray) -> np.ndarray:
+    """alpha[position, word, language]: summed probability of all segmentations up to each position."""
+    alpha = np.zeros((n + 1, words, prob.shape[1]))
+    alpha[0] = 1.0
+    for start, end, rows, found in spans:
+        alpha[end, rows] += alpha[start, rows] * prob[found]
     return alpha
 
 
 def log_likelihoods(words: list[str], vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
     """Log of the summed probability of each word per language."""
     out = np.empty((len(words), prob.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for n, all_of in by_length.items():
-        for at in range(0, len(all_of), 4096):
-            some = all_of[at:at + 4096]
-            alpha = forward(vocabulary.lattice([words[i] for i in some]), vocabulary.spans(n), n, prob)
-            out[some] = np.log(alpha[:, n])
+    for some in same_length(words, 4096):
+        n = len(words[some[0]])
+        out[some] = np.log(forward(vocabulary.spans([words[i] for i in some]), len(some), n, prob)[n])
     return out
 
 
 def expected(words: list[str], weights: np.ndarray, vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected piece counts per language of words with weights[word, language]."""
     total = np.zeros((vocabulary.count, prob.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for n, all_of in by_length.items():
-        spans = vocabulary.spans(n)
-        for at in range(0, len(all_of), 2048):
-            some = all_of[at:at + 2048]
-            ids = vocabulary.lattice([words[i] for i in some])
-            alpha = forward(ids, spans, n, prob)
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1.0
-            scale = weights[some] / alpha[:, n]
-            for k in range(len(spans) - 1, -1, -1):
-                s, e = spans[k]
-                rows = np.flatnonzero(ids[:, k] >= 0)
-                if len(rows):
-                    p = prob[ids[rows, k]]
-                    np.add.at(total, ids[rows, k], alpha[rows, s] * p * beta[rows, e] * scale[rows])
-                    beta[rows, s] += p * beta[rows, e]
+    for some in same_length(words, 2048):
+        n = len(words[some[0]])
+        spans = vocabulary.spans([words[i] for i in some])
+        alpha = forward(spans, len(some), n, prob)
+        beta = np.zeros_like(alpha)
+        beta[n] = 1.0
+        scale = weights[some] / alpha[n]
+        for start, end, rows, found in reversed(spans):
+            ahead = prob[found] * beta[end, rows]
+            np.add.at(total, found, alpha[start, rows] * ahead * scale[rows])
+            beta[start, rows] += ahead
     return total
 
 
@@ -140,19 +187,24 @@ def held_out(key: str) -> Column:
 def training_words(df: DataFrame, key: str, text: str, lang: str, docs_per_language: int) -> DataFrame:
     """(lang, word, n) over a bounded sample: of each language about `docs_per_language` training documents by a hash of the id.
 
-    The share to take follows from one count per language, so no language's rows meet in one task.
+    The share to take follows from the number of each language's documents. Those counts are all that is gathered, so
+    no texts are shuffled and no language's rows meet in one task.
     """
     usable = df.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    shares = usable.groupBy("lang").agg((F.lit(docs_per_language * HASHES) / F.count("*")).alias("share"))
-    sample = usable.join(shares, "lang").where(F.pmod(F.xxhash64("key"), F.lit(HASHES)) < F.col("share"))
+    limits = {r["lang"]: docs_per_language * HASHES // r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")] if limits else F.lit(0)
+    sample = usable.where(F.pmod(F.xxhash64("key"), F.lit(HASHES)) < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[str, str], int] = {}
+            raw: Counter = Counter()
             for language, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for w in parts(t):
-                    seen[language, w] = seen.get((language, w), 0) + 1
+                raw.update((language, w) for w in WORD.findall(t.lower()))
+            seen: Counter = Counter()
+            for (language, w), n in raw.items():
+                for x in parts(w):
+                    seen[language, x] += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
                  pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
@@ -213,30 +265,33 @@ def predict(df: DataFrame, text: str, languages: list[str], prob: np.ndarray, mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        table_ = np.zeros((0, n_lang))
-        for b in batches:
-            if len(known) > CACHE_WORDS:
-                known, table_ = {}, np.zeros((0, n_lang))
-            lists = [parts(t) if t else [] for t in b.column(at).to_pylist()] if n_lang else [[]] * len(b)
-            new: dict[str, int] = {}
-            for words in lists:
-                for w in words:
-                    if w not in known:
-                        known[w] = new[w] = len(known)
-            if new:
-                table_ = np.concatenate([table_, log_likelihoods(list(new), pieces(model), sent.value)])
-            names, scores = [], []
-            for words in lists:
-                if not words:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = table_[[known[w] for w in words]].sum(0)
-                best = int(total.argmax())
-                names.append(languages[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             [*b.schema.names, "lang_pred", "score"])
+        values = np.zeros((CACHE_WORDS, n_lang + 1))
+        for whole in batches:
+            for first in range(0, len(whole), DOCS_AT_ONCE):
+                b = whole.slice(first, DOCS_AT_ONCE)
+                lists = [WORD.findall(t.lower()) if t else [] for t in b.column(at).to_pylist()] if n_lang else [[]] * len(b)
+                new = list({w for words in lists for w in words if w not in known})
+                if len(known) + len(new) > len(values):
+                    known = {}
+                    new = list({w for words in lists for w in words})
+                    if len(new) > len(values):
+                        values = np.zeros((len(new), n_lang + 1))
+                if new:
+                    values[len(known):len(known) + len(new)] = word_values(new, pieces(model), sent.value)
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                names, scores = [], []
+                for words in lists:
+                    sums = values[[known[w] for w in words]].sum(0) if words else [0.0]
+                    if not sums[-1]:
+                        names.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = sums[:-1]
+                    best = int(total.argmax())
+                    names.append(languages[best])
+                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                                 [*b.schema.names, "lang_pred", "score"])
 
     return df.mapInArrow(run, schema)
 
