@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxloom.llm import decontaminate, langid, packing, simhash, substrings
+from rxloom.llm import decontaminate, langid, near_text, packing, substrings
 from rxloom.session import new_path
 
 #: A document whose best language has a lower posterior is rejected, like one without a letter.
@@ -20,6 +20,11 @@ def id_key(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(-(1 << 63)))
 
 
+def text_key(name: str) -> Column:
+    """The hash of a text, null being empty."""
+    return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Null texts and texts without a letter go."""
     languages, prob = langid.train(docs, "doc_id", "text", "lang")
@@ -28,12 +33,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows that repeat its id are one."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"), "doc_id", "text")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group"))).select(id_key("doc_id").alias("k_id")).distinct()
-    # Documents without an id are told apart by their text.
-    keyed = docs.withColumns({"k_id": id_key("doc_id"), "k_text": F.when(F.col("doc_id").isNull(), F.xxhash64("text"))})
-    return keyed.join(kept, "k_id", "left_semi").dropDuplicates(["k_id", "k_text"]).select(docs.columns)
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more one row, that with the smallest id."""
+    kept = near_text.group_firsts(docs, "doc_id", "text").select(id_key("key").alias("k_id"), F.col("th").alias("k_text"))
+    # An id alone does not name a row: it may be null or repeated.
+    keyed = docs.withColumns({"k_id": id_key("doc_id"), "k_text": text_key("text")})
+    return keyed.join(kept, ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"]).select(docs.columns)
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
