@@ -51,9 +51,10 @@ def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, "doc_id", "text", items, "item_id", "text")
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    # The decision depends on the text alone, and an id may be null or repeated.
+    found = decontaminate.contamination(docs.select(text_key("text").alias("k_text"), "text"), "k_text", "text", items, "item_id", "text")
+    bad = found.where("contaminated").select("k_text").distinct()
+    return docs.withColumn("k_text", text_key("text")).join(bad, "k_text", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import test_simhash
 import corpus_pipeline as c
 from rxloom.llm import near_text as n
 
+SF = "/root/testdata/sf0.001"
+
 
 def shingle_set(text):
     ws = test_simhash.re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
@@ -62,3 +64,17 @@ def test_the_stage_takes_near_copies_at_ten_bits_and_leaves_other_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert jaccard(*map(shingle_set, (rows[0][1], rows[1][1]))) >= 0.8 > jaccard(*map(shingle_set, (rows[0][1], rows[2][1])))
     assert sorted(r["doc_id"] for r in c.near_duplicate_stage(spark, docs, "").collect()) == [1, 3]
+
+
+def test_rows_without_an_id_or_with_one_id_are_decided_by_their_own_text(spark):
+    rng = random.Random(2)
+    clean = [" ".join(f"y{k}_{rng.random()}" for _ in range(60)) for k in range(4)]
+    near = [t + " end" for t in clean]
+    docs = spark.createDataFrame([(None, clean[0]), (None, clean[1]), (None, near[0]), (7, clean[2]), (7, clean[3]), (7, near[2]), (7, clean[3])], "doc_id long, text string")
+    kept = sorted(r["text"] for r in c.near_duplicate_stage(spark, docs, SF).collect())
+    assert len(kept) == 4 and [sum(t in (a, b) for t in kept) for a, b in zip(clean, near, strict=True)] == [1] * 4
+    leak = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 12)
+    docs = spark.createDataFrame([(None, clean[0]), (None, leak), (7, clean[1]), (7, f"{clean[2]} {leak}"), (8, None)], "doc_id long, text string")
+    out = c.decontamination_stage(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(0, clean[0]), (7, clean[1]), (8, "")])
+    assert out.columns == docs.columns
