@@ -6,7 +6,7 @@ in a sample come last and the others are in hash order, so a common passage make
 
 1. Every text of a bucket is compared with the bucket's first one. That joins large groups of copies with one pair per member.
 2. In buckets whose texts are not one group by then, the fingerprints (64 bits, of the same shingles) of different groups are
-   compared bit-sliced, in cells of bounded size, within a radius that a pair at 0.8 passes once in a million times.
+   compared bit-sliced, in cells of bounded size, within a radius that few pairs at 0.8 miss (see RADIUS).
 
 Both kinds of pairs are confirmed on the whole sets before they link anything.
 """
@@ -29,7 +29,7 @@ from rxloom.llm.simhash import CHUNK, QUERIES_AT_ONCE, lanes_within, planes_of
 from rxloom.session import materialise
 
 WIDTH = 5
-#: At a similarity of 0.8 a bit differs with probability arccos(8/9) / pi = 0.15, 9.7 of 64 bits.
+#: At a similarity of 0.8 a bit differs with probability arccos(8/9) / pi = 0.15, 9.7 of 64 bits; over 24 differ in 3 of a million pairs.
 RADIUS = 24
 #: Texts whose shingles are counted for the order, and how many of them have a frequent shingle.
 SAMPLE_TEXTS = 20_000
