@@ -53,15 +53,16 @@ def test_groups_against_brute_force(spark, monkeypatch, chunk):
     assert n.group_firsts(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_the_stage_takes_near_copies_at_ten_bits_and_leaves_other_texts(spark):
+def test_the_stage_takes_near_copies_beyond_op3s_radius_and_leaves_other_texts(spark):
     rng = random.Random(1)
-    base = [f"x{i}" for i in range(104)]
+    base = [f"a{i}" for i in range(104)]
     near, far = list(base), list(base)
     near[30], near[60] = "a", "b"  # 90 of 110 shingles
     for at in (30, 45, 60, 75):
         far[at] = f"c{rng.random()}"
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (test_simhash.naive_fingerprint(rows[0][1]) ^ test_simhash.naive_fingerprint(rows[1][1])).bit_count() > 3
     assert jaccard(*map(shingle_set, (rows[0][1], rows[1][1]))) >= 0.8 > jaccard(*map(shingle_set, (rows[0][1], rows[2][1])))
     assert sorted(r["doc_id"] for r in c.near_duplicate_stage(spark, docs, "").collect()) == [1, 3]
 
