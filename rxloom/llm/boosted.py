@@ -34,10 +34,10 @@ DIGITS = np.arange(48, 58)
 STARTS = np.arange(0xC0, 0x100)  # first bytes of characters outside ASCII
 BLANKS = np.array([9, 10, 11, 12, 13, 32])
 SYMBOLS = np.frombuffer(b"#*$%&|<>@~^_=+{}[]\\/", np.uint8).astype(np.int64)
-ODD_WORD = re.compile(rb"[^\s]*[#*$%&|<>@~^_=+{}\[\]\\/!?]{2,}[^\s]*")
+ODD_RUN = re.compile(rb"[#*$%&|<>@~^_=+{}\[\]\\/!?]{2,}")
 
 STATISTICS = ["log_bytes", "log_words", "log_lines", "upper", "digits", "others", "blanks", "symbols", "pipes", "ends", "bangs", "commas", "byte_entropy",
-              "word_length", "word_length_spread", "longest_word", "short_words", "one_letter", "distinct_words", "capital_words", "title_words", "odd_words",
+              "word_length", "word_length_spread", "longest_word", "short_words", "one_letter", "distinct_words", "capital_words", "title_words", "odd_runs",
               "lone_symbols", "repeats", "duplicate_lines", "line_words", "ended_lines", "short_lines", "ending", "sentence_words"]
 
 
@@ -61,7 +61,7 @@ def statistics(body: bytes) -> list[float]:
     chars[1:3] = np.log1p(n), np.log1p(m)
     firsts = b"".join([w[:1] for w in words])
     tallies = [lengths.mean(), lengths.std(), np.log1p(lengths.max()), (lengths <= 3).mean(), (lengths == 1).mean(), len(set(words)) / n,
-               sum(len(w) > 1 and w.isupper() for w in words) / n, np.isin(np.frombuffer(firsts, np.uint8), UPPER).mean(), len(ODD_WORD.findall(body)) / n,
+               sum(len(w) > 1 and w.isupper() for w in words) / n, np.isin(np.frombuffer(firsts, np.uint8), UPPER).mean(), len(ODD_RUN.findall(body)) / n,
                sum(len(w) == 1 and not w.isalnum() for w in words) / n, covered_by_repeats(words) / n, 1 - len(set(lines)) / m, np.log1p(n / m),
                sum(x.rstrip()[-1:] in b".!?" for x in lines) / m, sum(len(x.split(None, 3)) < 4 for x in lines) / m, float(words[-1][-1:] in b".!?"), np.log1p(n / (1 + ends))]
     return [float(x) for x in chars + tallies]
