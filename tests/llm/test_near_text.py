@@ -2,6 +2,8 @@ import os
 import random
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -40,16 +42,17 @@ def similar_texts():
     return out
 
 
-@pytest.mark.parametrize("chunk", [4096, 8])
-def test_groups_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "radius", "few"), [(4096, n.RADIUS, 32), (8, n.RADIUS, 2), (4096, -1, 32)])
+def test_groups_against_brute_force(spark, monkeypatch, chunk, radius, few):
     monkeypatch.setattr(n, "CHUNK", chunk)  # 8: buckets are cut into pairs of chunks
+    monkeypatch.setattr(n, "FEW", few)
     texts = similar_texts()
     sets = [shingle_set(t) for t in texts]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
     roots = test_simhash.roots(len(texts), pairs)
     assert sum(3 < (n.majority(n.shingles(texts[i].encode())) ^ n.majority(n.shingles(texts[j].encode()))).bit_count() for i, j in pairs) > 50
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r["key"] for r in n.group_firsts(df, "doc_id", "text").collect()) == sorted(set(roots))
+    assert sorted(r["key"] for r in n.group_firsts(df, "doc_id", "text", radius).collect()) == sorted(set(roots))
     assert n.group_firsts(df.limit(0), "doc_id", "text").count() == 0
 
 
@@ -79,3 +82,32 @@ def test_rows_without_an_id_or_with_one_id_are_decided_by_their_own_text(spark):
     out = c.decontamination_stage(spark, docs, SF)
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(0, clean[0]), (7, clean[1]), (8, "")])
     assert out.columns == docs.columns
+
+
+def test_sketches_lose_no_pair():
+    rng = random.Random(9)
+    for size in (1, 3, 20, 200, 3000):
+        base = np.array(sorted({rng.getrandbits(64) for _ in range(size)}), np.uint64)
+        for share in (0.0, 0.05, 0.11, 0.3):
+            other = np.unique(np.where(np.array([rng.random() < share for _ in base]), np.array([rng.getrandbits(64) for _ in base], np.uint64), base))
+            other = other[:max(1, len(other) - rng.randint(0, 1 + size // 9))]
+            pair = sorted((base, other), key=len)
+            rows = pa.table({"side": [0, 0], "node": [1, 2], "size": [len(x) for x in pair], "sketch": [n.parity(x).tobytes() for x in pair]})
+            similar = len(np.intersect1d(*pair)) / len(np.union1d(*pair))
+            found = len(n.Cell(rows).possible(1, np.arange(2)))
+            assert found or similar < 0.8
+            assert not found or similar > 0.6
+
+
+def test_a_template_of_many_texts_just_below_the_limit_gives_few_links(spark):
+    common = [f"w{i}" for i in range(88)]
+    texts = [" ".join([*common, *(f"t{k}_{i}" for i in range(12))]) for k in range(600)] + [" ".join([*common, *(f"t0_{i}" for i in range(11))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 0.75 < jaccard(shingle_set(texts[0]), shingle_set(texts[1])) < 0.8
+    assert sorted(r["key"] for r in n.group_firsts(df, "doc_id", "text").collect()) == list(range(600))  # the last one is a copy of the first
+    rows = df.select(n.F.col("doc_id").alias("key"), n.F.xxhash64("text").alias("th"), "text")
+    nodes = n.read_texts(rows, df.schema[0].dataType, n.frequent_shingles(rows))
+    members = n.members_of(n.shared_postings(nodes, n.frequent_shingles(rows))).join(nodes.select("node", "size", "fp", "sketch"), "node")
+    assert members.groupBy("h").count().count() <= 60
+    per_cell = n.by_cell(n.cells_of(members), lambda t: n.candidates(t, n.RADIUS), "a long, b long")
+    assert per_cell.count() <= members.count()

@@ -4,6 +4,7 @@ import sys
 sys.path.insert(0, os.path.dirname(__file__))
 
 import test_decontaminate
+import test_near_text
 import test_simhash
 
 import corpus_pipeline as c
@@ -31,8 +32,8 @@ def test_stages_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [(k, t) for k, t in docs if t and any(x.isalpha() for x in t)]
-    prints = [test_simhash.naive_fingerprint(t) for _, t in docs]
-    near = [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    sets = [test_near_text.shingle_set(t) for _, t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if test_near_text.jaccard(sets[i], sets[j]) >= 0.8]
     docs = [d for i, (d, r) in enumerate(zip(docs, test_simhash.roots(len(docs), near), strict=True)) if r == i]
     docs = list(zip([k for k, _ in docs], removed([t.encode() for _, t in docs]), strict=True))
     grams = {tuple(w[i:i + 10]) for w in (test_decontaminate.ws(t) for _, t in items) for i in range(max(1, len(w) - 9))}
