@@ -22,16 +22,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxloom.functions.similarity import sorted_ratio
+from rxloom.session import materialise
 
 FREQUENT_GRAMS = 128
 # Characters counted one by one for the common-character bound; all others count as one.
 COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
 _SLOT = 3  # occurrences per character that a signature tells apart
 _EPS = 1e-9
+#: Similarity at which best partners are sought first, and candidates of a text that are scored before others are ruled out.
+HIGH, FIRST_SCORED = 85.0, 4
 
 
 def _bigram_min_length(t: float) -> int:
@@ -128,7 +131,10 @@ def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: di
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str] | None = None) -> DataFrame:
-    """Distinct (block, l_text, r_text) that pass every bound: all pairs with similarity >= `threshold`, and few others."""
+    """Distinct (block, l_text, r_text, bound) that pass every bound: all pairs with similarity >= `threshold`, and few others.
+
+    No pair is more similar than its `bound`, which comes from the characters in common.
+    """
     block = block or []
     t = threshold / 100.0
     m2 = _bigram_min_length(t)
@@ -143,7 +149,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, l_text: str, r_text: str,
     room = F.least("lpos", "rpos") + q + F.least(m - F.col("lpos") - q, n - F.col("rpos") - q)
     common = (F.bit_count(F.col("l_lo").bitwiseAND(F.col("r_lo"))) + F.bit_count(F.col("l_hi").bitwiseAND(F.col("r_hi"))) + F.least("l_over", "r_over"))
     return (lg.join(rg, [*block, "gram"]).where(near & by_length & (common >= half) & (room >= half))
-            .select(*block, l_text, r_text).distinct())
+            .select(*block, l_text, r_text, (common * 200.0 / (m + n)).alias("bound")).distinct())
 
 
 def fuzzy_pairs(
@@ -154,7 +160,37 @@ def fuzzy_pairs(
     `left` and `right` hold one row per (block, text). Returns block, l_text, r_text, score.
     """
     pairs = candidate_pairs(left, right, l_text, r_text, threshold, block)
-    return pairs.withColumn("score", sorted_ratio(F.col(l_text), F.col(r_text))).where(F.col("score") >= threshold)
+    return pairs.drop("bound").withColumn("score", sorted_ratio(F.col(l_text), F.col(r_text))).where(F.col("score") >= threshold)
+
+
+def best_pairs(
+    left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str] | None = None
+) -> DataFrame:
+    """Of `fuzzy_pairs` each left text's most similar partners (all that are equally similar), without scoring all pairs.
+
+    First partners are sought at HIGH, where few pairs are candidates: a text that has one there needs no other. For the rest
+    the FIRST_SCORED candidates with the largest bounds are scored; others only if their bound reaches the best score found.
+    """
+    found, waiting = None, left
+    for minimum in [HIGH, threshold] if threshold + 5 < HIGH else [threshold]:
+        pairs = materialise(_best_at(waiting, right, l_text, r_text, minimum, block or []), "best")
+        found = pairs if found is None else found.unionByName(pairs)
+        waiting = waiting.join(pairs.select(*(block or []), l_text), [*(block or []), l_text], "left_anti")
+    return found
+
+
+def _best_at(left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str]) -> DataFrame:
+    key = [*block, l_text]
+    pairs = materialise(candidate_pairs(left, right, l_text, r_text, threshold, block), "candidates")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("bound"), r_text))
+    first = pairs.withColumn("place", place).where(F.col("place") <= FIRST_SCORED).drop("place")
+    score = sorted_ratio(F.col(l_text), F.col(r_text)).alias("score")
+    seen = materialise(first.select(*key, r_text, score), "scored")
+    low = seen.groupBy(*key).agg(F.max("score").alias("low"))
+    rest = pairs.join(low, key).where(F.col("bound") >= F.greatest("low", F.lit(threshold)) - 1e-6).join(seen.select(*key, r_text), [*key, r_text], "left_anti")
+    scored = materialise(seen.unionByName(rest.select(*key, r_text, score)).where(F.col("score") >= threshold), "scored")
+    top = scored.groupBy(*key).agg(F.max("score").alias("top"))
+    return scored.join(top, key).where(F.col("score") == F.col("top")).drop("top")
 
 
 def substring_first(queries: DataFrame, names: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from rxloom.session import materialise
 
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
+#: Postings in a block, levels per factor of two in gain, the last level; blocks read and documents scored for the lower bound.
+BLOCK, LEVELS_PER_HALVING, LEAST_LEVEL, FIRST_BLOCKS, FIRST = 128, 4, 31, 8, 4
 FIELD_WEIGHTS = {"a": 1.0, "b": 0.4, "c": 0.2, "d": 0.1}
 _EPS = 1e-9
 
@@ -109,10 +111,15 @@ def cosine_pairs(queries: DataFrame, index: TfidfIndex, threshold: float) -> Dat
 
 @dataclass
 class Bm25Index:
-    """`terms(term, idf, bound)` and `postings(term, id, gain)`; gain is the score of one query occurrence."""
+    """`terms(term, bound)`, `postings(term, id, gain)` and `blocks(term, level, top, entries)`.
+
+    Gain is the score of one query occurrence. A block holds about BLOCK postings of a term with gains of one level (a level is a
+    factor of 2 ** (1 / LEVELS_PER_HALVING) below the term's largest gain), `top` its largest gain.
+    """
 
     terms: DataFrame
     postings: DataFrame
+    blocks: DataFrame
 
 
 def build_bm25(corpus: DataFrame, store: bool = True) -> Bm25Index:
@@ -131,7 +138,17 @@ def build_bm25(corpus: DataFrame, store: bool = True) -> Bm25Index:
     if store:
         postings = materialise(postings, "bm25")
     bounds = postings.groupBy("term").agg(F.max("gain").alias("bound"))
-    return Bm25Index(bounds, postings)
+    blocks = _blocks(postings, bounds)
+    return Bm25Index(bounds, postings, materialise(blocks, "blocks") if store else blocks)
+
+
+def _blocks(postings: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Postings by (term, level, part): hashed parts instead of a sort, so a term of all documents is no single task's work."""
+    falls = F.when(F.col("gain") > 0, F.floor(F.log2(F.col("bound") / F.col("gain")) * LEVELS_PER_HALVING)).otherwise(LEAST_LEVEL)
+    levelled = postings.join(bounds, "term").select("term", "id", "gain", F.least(falls, F.lit(LEAST_LEVEL)).cast("int").alias("level"))
+    sizes = levelled.groupBy("term", "level").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = levelled.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    return dealt.groupBy("term", "level", "part").agg(F.max("gain").alias("top"), F.collect_list(F.struct("gain", "id")).alias("entries"))
 
 
 def bm25_pairs(queries: DataFrame, index: Bm25Index, threshold: float) -> DataFrame:
@@ -152,6 +169,61 @@ def bm25_pairs(queries: DataFrame, index: Bm25Index, threshold: float) -> DataFr
     )
 
 
+def bm25_scores(candidates: DataFrame, terms: DataFrame, index: Bm25Index) -> DataFrame:
+    """(query, id, score) of `candidates(query, id)`; `terms(query, term, tf)`."""
+    return (
+        candidates.join(terms.select("query", "term", "tf"), "query").join(index.postings, ["id", "term"])
+        .groupBy("query", "id").agg(F.round(F.sum(F.col("tf") * F.col("gain")), 9).alias("score"))
+    )
+
+
+def bm25_candidates(terms: DataFrame, index: Bm25Index, threshold: float) -> DataFrame:
+    """(query, id) of every document that may be a query's best one above `threshold`, by two passes over block maxima.
+
+    terms(query, term, tf, gain_most, reach, rest, place): the most that a term adds, summed up to it in rising order, over all
+    others, and its place in falling order. The first pass adds up the best blocks of each query's two strongest terms and
+    scores the FIRST best sums, which gives a lower bound. A term that adds more than the total may fall short of the bound must be in the document: if there are any, the
+    two strongest are looked up and intersected. Else all terms are that reach the bound with the weaker ones. Of either, only
+    blocks are read, and in them only entries, that reach the bound together with all that the other terms could add.
+    """
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("top"), "level", "part"))
+    best_blocks = index.blocks.withColumn("rank", rank).where(F.col("rank") <= FIRST_BLOCKS).select("term", "entries")
+    read = terms.where("place <= 2").join(best_blocks, "term").select("query", "tf", F.explode("entries").alias("e"))
+    sums = read.groupBy("query", "e.id").agg(F.sum(F.col("tf") * F.col("e.gain")).alias("part"))
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part"), "id"))
+    first = sums.withColumn("order", order).where(F.col("order") <= FIRST).select("query", "id")
+    lower = bm25_scores(first, terms, index).groupBy("query").agg(F.max("score").alias("low"))
+    low = F.greatest(F.coalesce("low", F.lit(threshold)), F.lit(threshold)) - 2 * _EPS
+    must = F.col("gain_most") > F.col("gain_most") + F.col("rest") - F.col("low")
+    looked = terms.join(lower, "query", "left").withColumn("low", low).withColumn("must", must)
+    looked = looked.withColumn("need", F.least(F.count_if("must").over(Window.partitionBy("query")), F.lit(2)))
+    looked = looked.where(F.when(F.col("need") > 0, F.col("must") & (F.col("place") <= 2)).otherwise(F.col("reach") >= F.col("low")))
+    bounded = materialise(looked, "bounded")
+    blocks = bounded.join(index.blocks, "term").where(F.col("tf") * F.greatest("top", F.lit(0.0)) + F.col("rest") >= F.col("low"))
+    entries = blocks.select("query", "tf", "rest", "low", "need", F.explode("entries").alias("e"))
+    entries = entries.where(F.col("tf") * F.greatest("e.gain", F.lit(0.0)) + F.col("rest") >= F.col("low"))
+    found = entries.groupBy("query", "e.id").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    return found.where(F.col("n") >= F.col("need")).select("query", "id")
+
+
+def bm25_terms(queries: DataFrame, index: Bm25Index) -> DataFrame:
+    """The `terms` of bm25_candidates for `queries(query, text)`; tokens the index does not have count for nothing."""
+    counted = _term_counts(queries, ["query"], space_tokens("text")).join(index.terms, "term")
+    counted = counted.withColumn("gain_most", F.col("tf") * F.greatest("bound", F.lit(0.0)))
+    whole = Window.partitionBy("query")
+    upward = whole.orderBy("gain_most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.select("query", "term", "tf", "gain_most", F.sum("gain_most").over(upward).alias("reach"),
+                          (F.sum("gain_most").over(whole) - F.col("gain_most")).alias("rest"),
+                          F.row_number().over(whole.orderBy(F.desc("gain_most"), F.desc("term"))).alias("place"))
+
+
+def bm25_best(queries: DataFrame, index: Bm25Index, threshold: float) -> DataFrame:
+    """(query, id, score): the best document above `threshold` of each query, the smallest id among equals."""
+    terms = materialise(bm25_terms(queries, index), "terms")
+    scores = bm25_scores(bm25_candidates(terms, index, threshold), terms, index)
+    return best_per_query(scores.where(F.col("score") > threshold))
+
+
 def best_per_query(pairs: DataFrame) -> DataFrame:
     """Highest score per query, smallest id among equals. Partial aggregation keeps hot queries cheap."""
     top = F.min(F.struct((-F.col("score")).alias("cost"), F.col("id").alias("id")))
@@ -172,36 +244,57 @@ def field_postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return rows.groupBy("id", F.col("e.term").alias("term")).agg(F.sum("e.w").alias("weight"))
 
 
-def search_all_terms(queries: DataFrame, postings: DataFrame, prefix: bool = True) -> DataFrame:
+@dataclass
+class FieldIndex:
+    """`terms(term, df, idf)`, `postings(term, id)` and `vectors(id, entries)`, entries being (term, weight, idf) of one document."""
+
+    terms: DataFrame
+    postings: DataFrame
+    vectors: DataFrame
+
+
+def build_fields(docs: DataFrame, fields: dict[str, Column]) -> FieldIndex:
+    """Index of `docs(id, ...)`. Terms and postings are stored sorted in ranges of terms, so a term or a prefix is one range."""
+    rows = materialise(field_postings(docs, fields), "fields")
+    n = docs.agg(F.count("*")).scalar()
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = materialise(counted.withColumn("idf", idf).sort("term"), "terms")
+    vectors = rows.join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("term", "weight", "idf")).alias("entries"))
+    return FieldIndex(terms, materialise(rows.select("term", "id").sort("term", "id"), "postings"), materialise(vectors, "vectors"))
+
+
+def expand_prefixes(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term, df) of the dictionary terms that begin with a token; only prefixes of lengths that tokens have are formed."""
+    wanted = tokens.select("token").distinct()
+    lengths = wanted.agg(F.coalesce(F.collect_set(F.length("token")), F.array().cast("array<int>"))).scalar()
+    cut = F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: F.col("term").substr(F.lit(1), n))
+    return terms.select("term", "df").withColumn("lengths", lengths).select("term", "df", F.explode(cut).alias("token")).join(wanted, "token")
+
+
+def search_all_terms(queries: DataFrame, index: FieldIndex, prefix: bool = True, ranked: bool = False) -> DataFrame:
     """(query, id, score) of documents holding every token of `queries(query, text)`.
 
-    Tokens match as prefixes (default) or whole terms. Candidates come from each query's
-    least frequent token; the others are verified against the postings.
+    Tokens match as prefixes (default) or whole terms. Candidates are the postings of each query's least frequent token; each
+    is checked once, inside its row, against the document's own terms. The score sums the field weights of the terms that
+    tokens match; `ranked` multiplies each by the term's idf.
     """
     tokens = queries.select("query", F.explode(F.array_distinct(space_tokens("text"))).alias("token"))
     tokens = tokens.where(F.col("token").rlike("^[a-zA-Z0-9]"))
-    vocabulary = postings.groupBy("term").agg(F.count("*").alias("df"))
-    if prefix:
-        reach = F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.col("term").substr(F.lit(1), n))
-        vocabulary = vocabulary.select("term", "df", F.explode(reach).alias("token"))
-    else:
-        vocabulary = vocabulary.withColumn("token", F.col("term"))
-    expanded = tokens.join(vocabulary, "token")
-    spread = expanded.groupBy("query", "token").agg(F.sum("df").alias("df"))
-    need = tokens.groupBy("query").agg(F.count("*").alias("need"))
-    rare = spread.groupBy("query").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("have"))
-    rare = rare.join(need, "query").where("have = need").select("query", "token", "need")
-    candidates = (
-        rare.join(expanded.select("query", "token", "term"), ["query", "token"])
-        .join(postings.select("term", "id"), "term")
-        .select("query", "need", "id")
-        .distinct()
-    )
-    return (
-        candidates.join(expanded.select("query", "token", "term"), "query")
-        .join(postings, ["id", "term"])
-        .groupBy("query", "need", "id")
-        .agg(F.count_distinct("token").alias("have"), F.round(F.sum("weight"), 9).alias("score"))
-        .where("have = need")
-        .select("query", "id", "score")
-    )
+    expanded = expand_prefixes(tokens, index.terms) if prefix else index.terms.withColumn("token", F.col("term")).join(tokens.select("token").distinct(), "token")
+    spread = expanded.groupBy("token").agg(F.sum("df").alias("df"))
+    rare = tokens.join(spread, "token", "left").groupBy("query").agg(
+        F.min_by("token", F.struct("df", "token")).alias("token"), F.count_if(F.col("df").isNull()).alias("absent"), F.collect_set("token").alias("tokens"))
+    rare = rare.where("absent = 0").select("query", "token", "tokens")
+    candidates = rare.join(expanded.select("token", "term"), "token").join(index.postings, "term").select("query", "tokens", "id").distinct()
+
+    def fits(entry: Column, token: Column) -> Column:
+        return F.startswith(entry["term"], token) if prefix else entry["term"] == token
+
+    def gain(token: Column) -> Column:
+        own = F.filter("entries", lambda e: fits(e, token))
+        return F.aggregate(own, F.lit(0.0), lambda total, e: total + (e["weight"] * e["idf"] if ranked else e["weight"]))
+
+    found = candidates.join(index.vectors, "id").where(F.forall("tokens", lambda t: F.exists("entries", lambda e: fits(e, t))))
+    score = F.aggregate("tokens", F.lit(0.0), lambda total, t: total + gain(t))
+    return found.select("query", "id", F.round(score, 9).alias("score"))

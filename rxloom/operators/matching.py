@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from rxloom.functions.similarity import token_sort
 from rxloom.functions.text import normalize_for_matching, query_variants
-from rxloom.operators.candidates import fuzzy_pairs, substring_first
-from rxloom.operators.index import best_per_query, bm25_pairs, build_bm25, build_tfidf, cosine_pairs
+from rxloom.operators.candidates import best_pairs, substring_first
+from rxloom.operators.index import best_per_query, bm25_best, build_bm25, build_tfidf, cosine_pairs
 from rxloom.session import materialise
 
 SENTINEL = "_icd_list_"
@@ -81,7 +81,7 @@ def fuzzy_hits(queries: DataFrame, names: DataFrame, probe: str, minimum: float)
     """Best token-sort similarity >= minimum; first id among equals."""
     left = queries.select("query", token_sort(probe).alias("q_sorted"))
     right = names.select("id", token_sort("name").alias("n_sorted")).groupBy("n_sorted").agg(F.min("id").alias("id"))
-    pairs = fuzzy_pairs(left.select("q_sorted").distinct(), right.select("n_sorted"), "q_sorted", "n_sorted", minimum)
+    pairs = best_pairs(left.select("q_sorted").distinct(), right.select("n_sorted"), "q_sorted", "n_sorted", minimum)
     scored = pairs.join(right, "n_sorted").select(F.col("q_sorted").alias("query"), "id", "score")
     best = best_per_query(scored).withColumnRenamed("query", "q_sorted")
     return left.join(best, "q_sorted").select("query", "id", "score")
@@ -96,7 +96,7 @@ def cosine_hits(queries: DataFrame, corpus: DataFrame, probe: str, rules: MatchR
 
 
 def bm25_hits(queries: DataFrame, corpus: DataFrame, probe: str, minimum: float) -> DataFrame:
-    return best_per_query(bm25_pairs(queries.select("query", F.col(probe).alias("text")), build_bm25(corpus), minimum))
+    return bm25_best(queries.select("query", F.col(probe).alias("text")), build_bm25(corpus), minimum)
 
 
 def _tag(hits: DataFrame, stage: int, method: str, confidence: Column) -> DataFrame:

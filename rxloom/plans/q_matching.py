@@ -345,17 +345,29 @@ need AS (SELECT query, count(*) AS need FROM ft GROUP BY 1)""") + """
 SELECT query, id, round(score, 6) AS score FROM fh JOIN need USING (query) WHERE have = need QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) = 1"""
 
 
-def _fts(spark, sf, prefix: bool):
+def _fts(spark, sf, prefix: bool, ranked: bool = False):
     drugs = d.drugs(spark, sf)
     p = d.table(spark, sf, "part")
     words = F.split("p_name", " ")
     parts = (F.substring(words[1], 1, 3), words[0], F.substring("p_type", 1, 4)) if prefix else (words[1], words[0], F.col("p_type"))
     q = p.select(F.concat_ws(" ", parts[0], parts[1], F.lower(parts[2])).alias("query")).distinct()
-    post = index.field_postings(drugs, {"a": F.col("ten_thuoc"), "b": F.col("hoat_chat"), "c": F.col("cong_ty_san_xuat"), "d": F.col("search_text")})
-    hits = index.search_all_terms(q.select("query", normalize_text(F.col("query")).alias("text")), post, prefix)
+    fields = index.build_fields(drugs, {"a": F.col("ten_thuoc"), "b": F.col("hoat_chat"), "c": F.col("cong_ty_san_xuat"), "d": F.col("search_text")})
+    hits = index.search_all_terms(q.select("query", normalize_text(F.col("query")).alias("text")), fields, prefix, ranked)
     return index.best_per_query(hits).select("query", "id", F.round("score", 6).alias("score"))
 
 
+def _ranked_sql() -> str:
+    """fulltext_prefix with every matched weight multiplied by ln(1 + (n - df + 0.5) / (df + 0.5))."""
+    stats = "pd AS (SELECT term, ln(1 + ((SELECT count(*) FROM drugs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY 1),\nfh AS ("
+    return _fts_sql("starts_with(term, token)", True).replace("fh AS (", stats).replace("sum(weight)", "sum(weight * idf)").replace(
+        "ft JOIN post ON starts_with(term, token)", "ft JOIN post ON starts_with(term, token) JOIN pd USING (term)")
+
+
+@query("fulltext_ranked", "J24", _ranked_sql())
+def fulltext_ranked(spark, sf):
+    return _fts(spark, sf, True, True)
+
+
 @query("fulltext_prefix", "J24", _fts_sql("starts_with(term, token)", True))
 def fulltext_prefix(spark, sf):
     return _fts(spark, sf, True)

@@ -10,9 +10,16 @@ from rxloom.operators.monitor import traffic_aggregates, with_traffic_rates
 from rxloom.operators.ranking import top_per_key
 
 
-def windowed_metrics(logs: DataFrame, window: str = "1 hour", lateness: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
-    """Traffic statistics per event-time window (batch or streaming); rows later than the watermark are dropped."""
-    keyed = logs.withWatermark("created_at", lateness).groupBy(F.window("created_at", window), *(by or []))
+def windowed_metrics(logs: DataFrame, window: str = "1 hour", lateness: str = "10 minutes", by: list[str] | None = None,
+                     event_id: str | None = None) -> DataFrame:
+    """Traffic statistics per event-time window (batch or streaming); rows later than the watermark are dropped.
+
+    With `event_id` a stream counts an event once, however often it comes within the watermark's delay.
+    """
+    timed = logs.withWatermark("created_at", lateness)
+    if event_id:
+        timed = timed.dropDuplicatesWithinWatermark([event_id]) if logs.isStreaming else timed.dropDuplicates([event_id])
+    keyed = timed.groupBy(F.window("created_at", window), *(by or []))
     stats = keyed.agg(*traffic_aggregates())
     out = with_traffic_rates(stats).withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
     return out.drop("window")
@@ -28,6 +35,23 @@ def start_metrics(logs: DataFrame, path: str, checkpoint: str, once: bool = True
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def store_progress(spark: SparkSession, query: StreamingQuery, path: str) -> None:
+    """Write (epoch, operator, rows_dropped) of the micro-batches the query still remembers, each epoch to its own folder.
+
+    Rows dropped are those behind the watermark. Call it after a run, or now and then during one: an epoch's folder is replaced.
+    """
+    for p in query.recentProgress:
+        rows = [(p.batchId, s.operatorName, s.numRowsDroppedByWatermark) for s in p.stateOperators]
+        if rows:
+            frame = spark.createDataFrame(rows, "epoch long, operator string, rows_dropped long")
+            frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={p.batchId}")
+
+
+def read_dropped(spark: SparkSession, path: str) -> DataFrame:
+    """Rows dropped as late per epoch, over all stateful operators."""
+    return spark.read.parquet(path).groupBy("epoch").agg(F.sum("rows_dropped").alias("rows_dropped"))
+
+
 def read_metrics(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
     """Latest state of every window."""
     rows = spark.read.parquet(path)

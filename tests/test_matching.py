@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rxloom.functions.similarity import _lcs_wide, lcs_lengths
 from rxloom.operators import consult, index, knowledge, lookup, matching, reconcile
-from rxloom.operators.candidates import fuzzy_pairs, substring_first
+from rxloom.operators.candidates import best_pairs, candidate_pairs, fuzzy_pairs, substring_first
+from rxloom.operators import candidates as cand
 
 
 def random_names(seed, n, alphabet="abcdeo ", low=1, high=24):
@@ -110,6 +111,71 @@ def test_bm25_equals_brute_force(spark):
     assert got == want and want
 
 
+def catalogue_names(n, seed=21, share=3):
+    """Names of brand, substance, strength and form as catalogues have them, growing with n."""
+    rnd = random.Random(seed)
+    syllables = ["pa", "ra", "ce", "ta", "mol", "ami", "oxi", "cil", "lin", "zo", "fen", "du", "vas", "tin", "pro", "lol", "mex", "an"]
+    words = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 5))) for _ in range(max(20, n // share))]
+    forms = ["tablet", "capsule", "syrup", "cream", "injection"]
+    return sorted({f"{rnd.choice(words)} {rnd.choice(words)} {rnd.choice([5, 10, 20, 50, 100, 250, 500])}mg {rnd.choice(forms)}" for _ in range(n)})
+
+
+def test_best_pairs_equal_the_best_of_all_pairs(spark):
+    base = random_names(31, 70)
+    rnd = random.Random(5)
+    near = sorted({x[: rnd.randint(0, len(x))] + rnd.choice("abz") + x[rnd.randint(0, len(x)):] for x in base} | set(random_names(32, 60)))
+    left = spark.createDataFrame([(i % 2, x) for i, x in enumerate(base)], "k int, l string")
+    right = spark.createDataFrame([(i % 2, x) for i, x in enumerate(near)], "k int, r string")
+    for threshold, keys in ((85.0, []), (70.0, []), (50.0, []), (60.0, ["k"])):
+        want = {}
+        for i, x in enumerate(base):
+            scores = {y: ratio(x, y) for j, y in enumerate(near) if (not keys or i % 2 == j % 2) and ratio(x, y) >= threshold}
+            want |= {(x, y): s for y, s in scores.items() if s == max(scores.values())}
+        got = best_pairs(left.select(*keys, "l"), right.select(*keys, "r"), "l", "r", threshold, keys).collect()
+        assert {(r.l, r.r): r.score for r in got} == want and len(got) == len(want)
+
+
+def test_best_pairs_score_few_of_all_pairs(spark, monkeypatch):
+    names = catalogue_names(3000)
+    rnd = random.Random(6)
+    queries = sorted({x[:rnd.randint(6, len(x))] if i % 3 else x.replace("a", "e", 2) for i, x in enumerate(catalogue_names(1500, 22)[:700] + names[:300])})
+    left, right = (spark.createDataFrame([(x,) for x in v], f"{c} string") for v, c in ((queries, "l"), (names, "r")))
+    scored = []
+    real = cand.materialise
+
+    def spy(df, label):
+        out = real(df, label)
+        if label == "scored":
+            scored.append(out.count())
+        return out
+
+    monkeypatch.setattr(cand, "materialise", spy)
+    got = {r.l for r in best_pairs(left, right, "l", "r", 70.0).collect()}
+    monkeypatch.undo()
+    pairs = candidate_pairs(left, right, "l", "r", 70.0).count()
+    total = len(queries) * len(names)
+    print(f"candidates {pairs / total:.4%}, scored {sum(scored) / total:.4%}, found {len(got)}")
+    assert sum(scored) < total / 100
+
+
+def test_bm25_best_equals_the_best_of_all_pairs_and_scores_a_tenth(spark):
+    docs = [x.replace("mg", " mg") for x in catalogue_names(4000, share=40)]
+    queries = [" ".join(x.split()[k % 2:]) for k, x in enumerate(docs[::20])] + ["mg", "mg mg tablet", "nothing"]
+    corpus = spark.createDataFrame(list(enumerate(docs + docs[:50])), "id long, text string")
+    qdf = spark.createDataFrame([(x, x) for x in sorted(set(queries))], "query string, text string")
+    found = index.build_bm25(corpus)
+    for threshold in (5.0, 0.1):
+        pairs = index.bm25_pairs(qdf, found, threshold)
+        want = {r.query: (r.id, r.score) for r in index.best_per_query(pairs).collect()}
+        got = {r.query: (r.id, r.score) for r in index.bm25_best(qdf, found, threshold).collect()}
+        assert got == want and want
+        terms = index.bm25_terms(qdf.where("size(split(text, ' ')) > 3"), found)  # of single common words all documents tie
+        seen = index.bm25_candidates(terms, found, threshold).count()
+        reached = terms.where(F.col("reach") > threshold).join(found.postings, "term").select("query", "id").distinct().count()
+        print(f"threshold {threshold}: {seen} of {reached} pairs that reach it scored")
+        assert seen * 10 < reached
+
+
 DRUGS = "id long, ten_thuoc string, so_dang_ky string, hoat_chat string, is_verified int, search_text string, chi_dinh string"
 ITEM = "request_id string, {} string, pos int, service string, amount double"
 
