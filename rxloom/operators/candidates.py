@@ -75,24 +75,20 @@ def _frequent_grams(df: DataFrame, text: str, q: int) -> DataFrame:
     return top.agg(F.array_join(listed, "\x01").alias("often"))
 
 
-def _signature(text: Column) -> dict[str, Column]:
-    """Character counts of a string: `_lo` and `_hi` with up to three bits set per character, `_over` what goes beyond.
+def _signature(text: str) -> dict[str, Column]:
+    """Character counts of a column: `_lo` and `_hi` with up to three bits set per character, `_over` what goes beyond.
 
     Common characters of two strings are at most the bits set in both, plus the smaller `_over`.
     """
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
-    counts.append(F.length(F.translate(text, COUNTED, "")))
-    bits = [(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(_SLOT))) - 1) for n in counts]
+    t = f"`{text}`"
+    counts = [f"(length({t}) - length(replace({t}, '{c}', '')))" for c in COUNTED] + [f"length(translate({t}, '{COUNTED}', ''))"]
     half = len(counts) // 2
 
-    def packed(part: list[Column]) -> Column:
-        out = F.lit(0).cast("long")
-        for i, b in enumerate(part):
-            out = out + b * F.lit(1 << (_SLOT * i)).cast("long")
-        return out
+    def packed(part: list[str]) -> str:
+        return " + ".join(f"(shiftleft(1L, least({n}, {_SLOT})) - 1) * {1 << (_SLOT * i)}L" for i, n in enumerate(part))
 
-    lo, hi = packed(bits[:half]), packed(bits[half:])
-    return {"_lo": lo, "_hi": hi, "_over": F.length(text) - F.bit_count(lo) - F.bit_count(hi)}
+    lo, hi = packed(counts[:half]), packed(counts[half:])
+    return {"_lo": F.expr(lo), "_hi": F.expr(hi), "_over": F.expr(f"length({t}) - bit_count({lo}) - bit_count({hi})")}
 
 
 def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: dict[int, DataFrame]) -> DataFrame:
@@ -121,7 +117,7 @@ def _gram_rows(df: DataFrame, keys: list[str], text: str, t: float, frequent: di
         return F.coalesce(kept, F.array().cast("array<struct<n:int,gram:string,pos:int>>"))
 
     kept = [prefix(q) for q, _ in classes]
-    signature = _signature(F.col(text))
+    signature = _signature(text)
     rows = rows.select(text, F.concat(*kept).alias("_grams"), *[c.alias(name) for name, c in signature.items()])
     if keys:
         rows = df.join(rows, text)
@@ -171,12 +167,12 @@ def best_pairs(
     First partners are sought at HIGH, where few pairs are candidates: a text that has one there needs no other. For the rest
     the FIRST_SCORED candidates with the largest bounds are scored; others only if their bound reaches the best score found.
     """
-    found, waiting = None, left
-    for minimum in [HIGH, threshold] if threshold + 5 < HIGH else [threshold]:
-        pairs = materialise(_best_at(waiting, right, l_text, r_text, minimum, block or []), "best")
-        found = pairs if found is None else found.unionByName(pairs)
-        waiting = waiting.join(pairs.select(*(block or []), l_text), [*(block or []), l_text], "left_anti")
-    return found
+    key = [*(block or []), l_text]
+    if threshold + 5 >= HIGH:
+        return _best_at(left, right, l_text, r_text, threshold, block or [])
+    close = materialise(_best_at(left, right, l_text, r_text, HIGH, block or []), "best")
+    rest = left.join(close.select(*key).distinct(), key, "left_anti")
+    return close.unionByName(_best_at(rest, right, l_text, r_text, threshold, block or []))
 
 
 def _best_at(left: DataFrame, right: DataFrame, l_text: str, r_text: str, threshold: float, block: list[str]) -> DataFrame:
@@ -188,9 +184,8 @@ def _best_at(left: DataFrame, right: DataFrame, l_text: str, r_text: str, thresh
     seen = materialise(first.select(*key, r_text, score), "scored")
     low = seen.groupBy(*key).agg(F.max("score").alias("low"))
     rest = pairs.join(low, key).where(F.col("bound") >= F.greatest("low", F.lit(threshold)) - 1e-6).join(seen.select(*key, r_text), [*key, r_text], "left_anti")
-    scored = materialise(seen.unionByName(rest.select(*key, r_text, score)).where(F.col("score") >= threshold), "scored")
-    top = scored.groupBy(*key).agg(F.max("score").alias("top"))
-    return scored.join(top, key).where(F.col("score") == F.col("top")).drop("top")
+    scored = seen.unionByName(rest.select(*key, r_text, score)).where(F.col("score") >= threshold)
+    return scored.withColumn("place", F.rank().over(Window.partitionBy(*key).orderBy(F.desc("score")))).where("place = 1").drop("place")
 
 
 def substring_first(queries: DataFrame, names: DataFrame) -> DataFrame:
