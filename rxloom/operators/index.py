@@ -60,7 +60,7 @@ class TfidfIndex:
     max_ngram: int
 
 
-def _unit_vectors(terms: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+def unit_vectors(terms: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     weighted = terms.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     whole = Window.partitionBy(key)
     upward = whole.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,28 +73,33 @@ def _unit_vectors(terms: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     )
 
 
-def build_tfidf(corpus: DataFrame, max_ngram: int = 1, store: bool = True) -> TfidfIndex:
-    """Index `corpus(id, text)`: smoothed idf ln((1+n)/(1+df))+1, raw tf, L2 norm."""
-    docs = fold_corpus(corpus)
-    terms = _term_counts(docs, ["id", "copies"], word_tokens("text", max_ngram))
-    size = docs.agg(F.sum("copies")).scalar()
-    idf = (
-        terms.groupBy("term")
-        .agg(F.sum("copies").alias("df"))
-        .withColumn("idf", F.log((F.lit(1) + size) / (F.lit(1) + F.col("df"))) + 1.0)
-    )
+def tfidf_idf(df: DataFrame, size: Column) -> DataFrame:
+    return df.withColumn("idf", F.log((F.lit(1) + size) / (F.lit(1) + F.col("df"))) + 1.0)
+
+
+def tfidf_of(terms: DataFrame, df: DataFrame, size: Column, max_ngram: int, store: bool = True) -> TfidfIndex:
+    """Index from `terms(id, term, tf)` of distinct texts, `df(term, df)` and the number of texts: smoothed idf, raw tf, L2 norm."""
+    idf = tfidf_idf(df, size)
     if store:
         idf = materialise(idf, "idf")
-    vectors = _unit_vectors(terms, idf, "id")
+    vectors = unit_vectors(terms, idf, "id")
     if store:
         vectors = materialise(vectors, "tfidf")
     return TfidfIndex(idf, vectors, max_ngram)
 
 
+def build_tfidf(corpus: DataFrame, max_ngram: int = 1, store: bool = True) -> TfidfIndex:
+    """Index `corpus(id, text)`: smoothed idf ln((1+n)/(1+df))+1, raw tf, L2 norm."""
+    docs = fold_corpus(corpus)
+    terms = _term_counts(docs, ["id", "copies"], word_tokens("text", max_ngram))
+    df = terms.groupBy("term").agg(F.sum("copies").alias("df"))
+    return tfidf_of(terms, df, docs.agg(F.sum("copies")).scalar(), max_ngram, store)
+
+
 def cosine_pairs(queries: DataFrame, index: TfidfIndex, threshold: float) -> DataFrame:
     """(query, id, score) for all pairs with cosine >= `threshold`; `queries(query, text)`."""
     terms = _term_counts(queries, ["query"], word_tokens("text", index.max_ngram))
-    q = _unit_vectors(terms, index.idf, "query")
+    q = unit_vectors(terms, index.idf, "query")
     d = index.vectors
     low = threshold - _EPS
     qp = q.where(F.col("rest") >= low).select("query", "term", F.col("rest").alias("q_rest"))
@@ -122,14 +127,9 @@ class Bm25Index:
     blocks: DataFrame
 
 
-def build_bm25(corpus: DataFrame, store: bool = True) -> Bm25Index:
-    """Okapi BM25 over white-space tokens; negative idf becomes 0.25 times the mean idf."""
-    docs = fold_corpus(corpus).withColumn("dl", F.size(space_tokens("text")))
-    stats = docs.agg(F.sum("copies").alias("n"), (F.sum(F.col("copies") * F.col("dl")) / F.sum("copies")).alias("avgdl"))
-    counts = _term_counts(docs, ["id", "copies", "dl"], space_tokens("text"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    raw = counts.groupBy("term").agg(F.sum("copies").alias("df"))
-    raw = raw.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def bm25_of(counts: DataFrame, df: DataFrame, n: Column, avgdl: Column, store: bool = True) -> Bm25Index:
+    """Index from `counts(id, dl, term, tf)` of distinct texts, `df(term, df)`, the number of texts and their mean length."""
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     idf = raw.select("term", F.when(F.col("raw") < 0, mean * BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
     length = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("dl") / avgdl)
@@ -138,11 +138,20 @@ def build_bm25(corpus: DataFrame, store: bool = True) -> Bm25Index:
     if store:
         postings = materialise(postings, "bm25")
     bounds = postings.groupBy("term").agg(F.max("gain").alias("bound"))
-    blocks = _blocks(postings, bounds)
+    blocks = block_postings(postings, bounds)
     return Bm25Index(bounds, postings, materialise(blocks, "blocks") if store else blocks)
 
 
-def _blocks(postings: DataFrame, bounds: DataFrame) -> DataFrame:
+def build_bm25(corpus: DataFrame, store: bool = True) -> Bm25Index:
+    """Okapi BM25 over white-space tokens; negative idf becomes 0.25 times the mean idf."""
+    docs = fold_corpus(corpus).withColumn("dl", F.size(space_tokens("text")))
+    stats = docs.agg(F.sum("copies").alias("n"), (F.sum(F.col("copies") * F.col("dl")) / F.sum("copies")).alias("avgdl"))
+    counts = _term_counts(docs, ["id", "copies", "dl"], space_tokens("text"))
+    df = counts.groupBy("term").agg(F.sum("copies").alias("df"))
+    return bm25_of(counts, df, stats.select("n").scalar(), stats.select("avgdl").scalar(), store)
+
+
+def block_postings(postings: DataFrame, bounds: DataFrame) -> DataFrame:
     """Postings by (term, level, part): hashed parts instead of a sort, so a term of all documents is no single task's work."""
     falls = F.when(F.col("gain") > 0, F.floor(F.log2(F.col("bound") / F.col("gain")) * LEVELS_PER_HALVING)).otherwise(LEAST_LEVEL)
     levelled = postings.join(bounds, "term").select("term", "id", "gain", F.least(falls, F.lit(LEAST_LEVEL)).cast("int").alias("level"))

@@ -16,6 +16,7 @@ from rxloom.functions.similarity import token_sort
 from rxloom.functions.text import normalize_for_matching, query_variants
 from rxloom.operators.candidates import best_pairs, substring_first
 from rxloom.operators.index import best_per_query, bm25_best, build_bm25, build_tfidf, cosine_pairs
+from rxloom.operators.stored_index import CatalogueIndex
 from rxloom.session import materialise
 
 SENTINEL = "_icd_list_"
@@ -87,16 +88,16 @@ def fuzzy_hits(queries: DataFrame, names: DataFrame, probe: str, minimum: float)
     return left.join(best, "q_sorted").select("query", "id", "score")
 
 
-def cosine_hits(queries: DataFrame, corpus: DataFrame, probe: str, rules: MatchRules) -> DataFrame:
-    index = build_tfidf(corpus, rules.max_ngram)
+def cosine_hits(queries: DataFrame, corpus: DataFrame, probe: str, rules: MatchRules, stored: CatalogueIndex | None = None) -> DataFrame:
+    index = stored.tfidf(rules.max_ngram) if stored else build_tfidf(corpus, rules.max_ngram)
     pairs = cosine_pairs(queries.select("query", F.col(probe).alias("text")), index, rules.cosine_min)
     if rules.cosine_strict:
         pairs = pairs.where(F.col("score") > rules.cosine_min)
     return best_per_query(pairs)
 
 
-def bm25_hits(queries: DataFrame, corpus: DataFrame, probe: str, minimum: float) -> DataFrame:
-    return bm25_best(queries.select("query", F.col(probe).alias("text")), build_bm25(corpus), minimum)
+def bm25_hits(queries: DataFrame, corpus: DataFrame, probe: str, minimum: float, stored: CatalogueIndex | None = None) -> DataFrame:
+    return bm25_best(queries.select("query", F.col(probe).alias("text")), stored.bm25() if stored else build_bm25(corpus), minimum)
 
 
 def _tag(hits: DataFrame, stage: int, method: str, confidence: Column) -> DataFrame:
@@ -130,32 +131,37 @@ class _Cascade:
 
 
 def _late_stages(run: _Cascade, names: DataFrame, corpus: DataFrame, rules: MatchRules,
-                 fuzzy_probe: str, labels: tuple[str, str, str]) -> None:
+                 fuzzy_probe: str, labels: tuple[str, str, str], stored: CatalogueIndex | None = None) -> None:
     if not run.done():
         hits = fuzzy_hits(run.pending, names, fuzzy_probe, rules.fuzzy_min)
         conf = F.col("score") / 100.0 if rules.fuzzy_confidence is None else F.lit(rules.fuzzy_confidence)
         run.add(_tag(hits, 3, labels[0], conf))
     if not run.done():
-        hits = cosine_hits(run.pending, corpus, "norm", rules)
+        hits = cosine_hits(run.pending, corpus, "norm", rules, stored)
         conf = F.col("score") if rules.cosine_confidence is None else F.lit(rules.cosine_confidence)
         run.add(_tag(hits, 4, labels[1], conf))
     if rules.bm25_min is not None and not run.done():
-        hits = bm25_hits(run.pending, corpus, "norm", rules.bm25_min)
+        hits = bm25_hits(run.pending, corpus, "norm", rules.bm25_min, stored)
         run.add(_tag(hits, 5, labels[2], F.lit(rules.bm25_confidence)))
 
 
-def match_catalogue(names: DataFrame, col: str, drugs: DataFrame, rules: MatchRules = CLAIM_RULES) -> DataFrame:
+def catalogue_corpus(drugs: DataFrame) -> DataFrame:
+    """(id, text) of what the cascade's TF-IDF and BM25 stages search; build or change a CatalogueIndex with it."""
+    return verified(drugs, indexed=True).select("id", F.coalesce(F.nullif("search_text", F.lit("")), F.col("ten_thuoc")).alias("text"))
+
+
+def match_catalogue(names: DataFrame, col: str, drugs: DataFrame, rules: MatchRules = CLAIM_RULES, stored: CatalogueIndex | None = None) -> DataFrame:
     """Match every distinct name of `names[col]` against the drug catalogue.
 
+    A `stored` index over `catalogue_corpus(drugs)` is read instead of building one for this call.
+
     Returns one row per name: query, status, id, confidence, method, score. Stage order
     decides, not confidence. `score` is the stage's own measure (ratio, cosine, BM25).
     """
     usable = verified(drugs).select("id", F.col("ten_thuoc").alias("name"))
     indexed = verified(drugs, indexed=True)
     index_names = indexed.select("id", F.col("ten_thuoc").alias("name"))
-    corpus = indexed.select(
-        "id", F.coalesce(F.nullif("search_text", F.lit("")), F.col("ten_thuoc")).alias("text")
-    )
+    corpus = catalogue_corpus(drugs)
     queries = materialise(distinct_queries(names, col), "names")
     run = _Cascade(queries)
     raw = exact_hits(queries, usable, "raw").withColumn("stage", F.lit(0))
@@ -168,7 +174,7 @@ def match_catalogue(names: DataFrame, col: str, drugs: DataFrame, rules: MatchRu
     ))
     if not run.done():
         run.add(_tag(partial_hits(run.pending, usable, "norm"), 2, "PARTIAL_MATCH", F.lit(rules.partial_confidence)))
-    _late_stages(run, index_names, corpus, rules, "raw", ("FUZZY_MATCH", "VECTOR_MATCH", "BM25_MATCH"))
+    _late_stages(run, index_names, corpus, rules, "raw", ("FUZZY_MATCH", "VECTOR_MATCH", "BM25_MATCH"), stored)
     return _complete(queries, run.result())
 
 
