@@ -63,31 +63,50 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, walk, lambda acc: acc["h"])
 
 
-def ordered_code(name: str, kind: str) -> Column:
-    """A number that keeps the order of the column: the value itself, or a string's first six bytes. Null is lowest."""
-    c = F.col(name)
-    if kind == "string":
-        raw = F.call_function("rpad", F.substring(c.cast("binary"), 1, 6), F.lit(6), F.lit(b"\x00"))
-        c = F.conv(F.hex(raw), 16, 10)
-    return F.coalesce(c.cast("double"), F.lit(-1.0))
-
-
-def quantise(code: Column, bounds: list[float], bits: int) -> Column:
-    """How many of the sorted bounds are at most the code, by binary search over at most 2**bits - 1 bounds."""
+def quantise(code: Column, bounds: list, bits: int) -> Column:
+    """How many of the sorted bounds are at most the code, by binary search over at most 2**bits bounds; 0 for null."""
     if not bounds:
         return F.lit(0)
-    full = F.array(*[F.lit(float(b)) for b in bounds])
+    full = F.array(*[F.lit(b) for b in bounds])
     n = len(bounds)
-    levels = F.array(*[F.lit(1 << i) for i in range(bits - 1, -1, -1)])
-    return F.aggregate(
+    levels = F.array(*[F.lit(1 << i) for i in range(bits, -1, -1)])
+    found = F.aggregate(
         levels, F.lit(0),
         lambda at, s: F.when((at + s <= n) & (F.get(full, F.least(at + s, F.lit(n)) - 1) <= code), at + s).otherwise(at))
+    return F.coalesce(F.least(found, F.lit((1 << bits) - 1)), F.lit(0))
+
+
+def number_bounds(df: DataFrame, name: str, bits: int) -> list[float]:
+    """Approximate quantiles of a column as numbers, null being -1."""
+    cuts = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
+    return sorted(set(df.agg(F.percentile_approx(numeric(name), cuts, 10_000).alias("q")).first()[0] or []))
+
+
+def numeric(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
+
+
+def string_bounds(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Whole strings at which the rows, in order of the string, pass another 2**-bits of all rows; 2**bits at most.
+
+    Distinct values and their counts are sorted in ranges over all tasks; a value's place is its range's offset plus the sum inside.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.select(F.col(name).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    ranged = materialise(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "values")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = ranged.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before"), F.sum("s").over(everything).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("end", inside).join(offsets, "part").withColumn("end", F.col("before") + F.col("end"))
+    passed = placed.where(F.expr(f"end * {1 << bits} div total > (end - n) * {1 << bits} div total"))
+    return sorted((r["v"] for r in passed.select("v").collect()), key=str.encode)
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], order_by: str, shards: int, bits: int = 6) -> DataFrame:
     """All rows of `df` with `shard`, `slot` and `curve`; shard sizes differ by one row at most.
 
-    Each dimension is cut at its approximate quantiles into 2**bits cells. Rows are range-partitioned by
+    Each dimension is cut at its (for numbers approximate) quantiles into 2**bits cells; strings are compared whole. Rows are range-partitioned by
     (curve, order_by); a row's rank is its partition's offset plus its place there, so no task sees all rows
     and only one count per partition is gathered. Nulls form the lowest cell; an empty table gives no rows;
     repeated rows are ordinary rows. Names that clash with the three new columns are an error.
@@ -96,10 +115,9 @@ def hilbert_shards(df: DataFrame, dims: list[str], order_by: str, shards: int, b
     if taken:
         raise ValueError(f"columns already present: {sorted(taken)}")
     kinds = dict(df.dtypes)
-    codes = {d: ordered_code(d, kinds[d]) for d in dims}
-    cuts = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
-    row = df.agg(*[F.percentile_approx(c, cuts, 10_000).alias(f"q{i}") for i, c in enumerate(codes.values())]).first()
-    cells = [quantise(c, sorted(set(row[i] or [])), bits) for i, c in enumerate(codes.values())]
+    text = [kinds[d] == "string" for d in dims]
+    bounds = [string_bounds(df, d, bits) if t else number_bounds(df, d, bits) for d, t in zip(dims, text, strict=True)]
+    cells = [quantise(F.col(d) if t else numeric(d), b, bits) for d, t, b in zip(dims, text, bounds, strict=True)]
     keyed = materialise(df.select(F.struct("*").alias("row"), F.col(order_by).alias("key"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
                         .select("row", "key", hilbert_index([F.col(f"c{i}") for i in range(len(cells))], bits).alias("curve")), "curve")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
