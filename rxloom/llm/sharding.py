@@ -86,21 +86,27 @@ def numeric(name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
 
 
-def string_bounds(df: DataFrame, name: str, bits: int) -> list[str]:
-    """Whole strings at which the rows, in order of the string, pass another 2**-bits of all rows; 2**bits at most.
+def string_bounds(df: DataFrame, names: list[str], bits: int) -> dict[str, list[str]]:
+    """Per column the whole strings at which the rows, in order of the string, pass another 2**-bits of all rows; 2**bits at most.
 
     Distinct values and their counts are sorted in ranges over all tasks; a value's place is its range's offset plus the sum inside.
     """
+    if not names:
+        return {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.select(F.col(name).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    ranged = materialise(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "values")
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = ranged.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before"), F.sum("s").over(everything).alias("total"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.withColumn("end", inside).join(offsets, "part").withColumn("end", F.col("before") + F.col("end"))
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(c).alias("v")) for i, c in enumerate(names)])).alias("x")).select("x.*")
+    counts = values.where("v IS NOT NULL").groupBy("d", "v").agg(F.count("*").alias("n"))
+    ranged = materialise(counts.repartitionByRange(parts, "d", "v").withColumn("part", F.spark_partition_id()), "values")
+    before = Window.partitionBy("d").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("d", "part").agg(F.sum("n").alias("s")).select(
+        "d", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy("d")).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("d", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("end", inside).join(offsets, ["d", "part"]).withColumn("end", F.col("before") + F.col("end"))
     passed = placed.where(F.expr(f"end * {1 << bits} div total > (end - n) * {1 << bits} div total"))
-    return sorted((r["v"] for r in passed.select("v").collect()), key=str.encode)
+    found: dict[str, list[str]] = {c: [] for c in names}
+    for r in passed.select("d", "v").collect():
+        found[names[r["d"]]].append(r["v"])
+    return {c: sorted(v, key=str.encode) for c, v in found.items()}
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], order_by: str, shards: int, bits: int = 6) -> DataFrame:
@@ -116,7 +122,8 @@ def hilbert_shards(df: DataFrame, dims: list[str], order_by: str, shards: int, b
         raise ValueError(f"columns already present: {sorted(taken)}")
     kinds = dict(df.dtypes)
     text = [kinds[d] == "string" for d in dims]
-    bounds = [string_bounds(df, d, bits) if t else number_bounds(df, d, bits) for d, t in zip(dims, text, strict=True)]
+    strings = string_bounds(df, [d for d, t in zip(dims, text, strict=True) if t], bits)
+    bounds = [strings[d] if t else number_bounds(df, d, bits) for d, t in zip(dims, text, strict=True)]
     cells = [quantise(F.col(d) if t else numeric(d), b, bits) for d, t, b in zip(dims, text, bounds, strict=True)]
     keyed = materialise(df.select(F.struct("*").alias("row"), F.col(order_by).alias("key"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
                         .select("row", "key", hilbert_index([F.col(f"c{i}") for i in range(len(cells))], bits).alias("curve")), "curve")

@@ -87,9 +87,9 @@ def test_strings_are_compared_whole(spark):
     df = spark.createDataFrame([(i, sources[i % 26]) for i in range(26 * 20)], "id long, source string")
     out = hilbert_shards(df, ["source"], "id", 13).groupBy("shard").agg(F.collect_set("source").alias("s")).collect()
     assert len(out) == 13 and all(len(r["s"]) == 2 for r in out)
-    assert string_bounds(df, "source", 6) == sources
+    assert string_bounds(df, ["source"], 6) == {"source": sources}
     long = spark.createDataFrame([(i, "x" * 500 + str(i % 4), -1.0 * i) for i in range(400)], "id long, name string, v double")
-    assert string_bounds(long, "name", 2) == ["x" * 500 + str(k) for k in range(4)]
+    assert string_bounds(long, ["name"], 2)["name"] == ["x" * 500 + str(k) for k in range(4)]
 
 
 def test_odd_inputs(spark):
