@@ -7,9 +7,10 @@ serve where Python is needed. Each body builds on the functions registered befor
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +89,36 @@ def _bodies() -> dict[str, tuple[str, str]]:
     }
 
 
+#: In the SQL text of a Column operators are written as functions; Spark takes them as such where their names are quoted.
+_OPERATOR = re.compile(r"'(?:\\.|[^'\\])*'|(?<![\w`])(?:and|or|in|not)(?=\()|[=<>!+*/%-]+(?=\()", re.DOTALL)
+
+
+def _sql_of(column: Column) -> str:
+    return _OPERATOR.sub(lambda m: m[0] if m[0].startswith("'") else f"`{m[0]}`", column._jc.node().sql())
+
+
+def _derived() -> dict[str, tuple[list[str], Column]]:
+    """Functions whose SQL body is that of the Column function itself, with their string parameters."""
+    s, a, b, c = (F.col(x) for x in "sabc")
+    return {
+        "normalize_for_search": (["s"], text.normalize_for_search(s)),
+        "strip_search_name": (["s"], text.strip_search_name(s)),
+        "parse_secondary_disease": (["s"], fields.parse_secondary_disease(s)),
+        "classification_tags": (["s"], fields.classification_tags(s)),
+        "classify_labels": (["a", "b"], fields.classify_labels(a, b)),
+        "correct_mapping": (["s"], fields.correct_mapping(s)),
+        "validate_output": (["a", "b", "c"], fields.validate_output(a, b, c)),
+        "clean_html": (["s"], refine.clean_html(s)),
+        "split_packaging": (["s"], refine.split_packaging(s)),
+        "indication_section": (["s"], refine.indication_section(s)),
+        "indication_terms": (["s"], refine.indication_terms(s)),
+        "summarize_indication": (["s"], refine.summarize_indication(s)),
+        "parse_drug_info": (["s"], extract.parse_drug_info(s)),
+        "page_usage": (["s"], extract.page_usage(s)),
+        "is_relevant_page": (["a", "b", "c"], extract.is_relevant_page(a, b, c)),
+    }
+
+
 @F.pandas_udf(T.DoubleType())
 def _token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     left = [" ".join(sorted((x or "").split())) for x in a]
@@ -102,6 +133,11 @@ def register_functions(spark: SparkSession) -> list[str]:
     for name, (params, body) in _bodies().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {RETURNS.get(name, 'STRING')} RETURN {body}")
         names.append(name)
+    blank = spark.createDataFrame([], "s string, a string, b string, c string")
+    for name, (params, column) in _derived().items():
+        kind = blank.select(column.alias("out")).schema[0].dataType.simpleString()
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{p} STRING' for p in params)}) RETURNS {kind} RETURN {_sql_of(column)}")
+        names.append(name)
     for name, udf in {"token_sort_ratio": _token_sort_ratio, "lcs_length": lcs_len, "unescape_html": refine.unescape_html}.items():
         spark.udf.register(name, udf)
         names.append(name)

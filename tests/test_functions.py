@@ -118,3 +118,18 @@ def test_registered_functions(spark):
     assert (r.a, r.b, r.d, r.e, r.f, r.g, r.h, r.i, r.j) == (
         "dac a 5ml", "5mlx", "r51", "main drug", None, 100.0, "u", "partially_matched", ["zinc"])
     assert r.c == "Yy 16mg" and r.k == "Tim mạch - Huyết áp"
+
+
+def test_derived_sql_functions_equal_their_column_forms(spark):
+    from rxloom.functions.register import _derived
+
+    awkward = [None, "", " ", "Para 500mg (x)", "R51 - Đau; J00 - Y", "[\'main drug\', \"secondary drug\"]", "{}", "{\"a\": {\"R51\": \"Đau\"}}",
+               "Hộp 3 vỉ x 10 viên <b>a</b> &amp; it\'s", "Chỉ định: đau đầu, sốt cao.\nLiều dùng: 1 viên", "valid", "MAIN DRUG, supplement", "a\\b 'c'", "http://x.vn/thuoc/a-b"]
+    rows = spark.createDataFrame([(x, x, awkward[(i * 5 + 3) % len(awkward)], awkward[(i * 3 + 1) % len(awkward)]) for i, x in enumerate(awkward)],
+                                 "s string, a string, b string, c string")
+    rows.createOrReplaceTempView("awkward_rows")
+    assert set(_derived()) <= set(register_functions(spark))
+    for name, (params, column) in _derived().items():
+        want = [r[0] for r in rows.select(column).collect()]
+        got = [r[0] for r in spark.sql(f"SELECT {name}({', '.join(params)}) FROM awkward_rows").collect()]
+        assert got == want, name
