@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rxloom.functions.fields import first_filled
 from rxloom.schemas import CONSULT_REQUEST_DDL, MATCH_REQUEST_DDL
+from rxloom.sources.csv_split import BOM, parsed, read_by_header, read_csv_records
 
 # --- fixed values -----------------------------------------------------------
 LOG_ALIASES = {
@@ -25,9 +23,7 @@ LOG_ALIASES = {
 }
 ICD_POSITIONS = {"id": 0, "icd_code": 10, "chapter_name": 14, "slug": 15, "disease_name": 16}
 # ----------------------------------------------------------------------------
-BOM = "﻿"
 END_MARK = "\1"  # a value of no file
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
 def _quoted(name: str) -> Column:
@@ -45,31 +41,22 @@ def resolve_log_columns(df: DataFrame) -> DataFrame:
     return df.select(*keep, *out)
 
 
-def input_position() -> Column:
-    """Order of rows within and across files: file, then row number within the read."""
-    return F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-
-
 def read_prescription_log(spark: SparkSession, path: str) -> DataFrame:
-    """Prescription-log CSV of one header form, with position and resolved columns.
+    """Prescription-log CSV with position and resolved columns; files may differ in their header.
 
     Rows lacking a drug or a primary disease stay in and are told apart by
-    `knowledge.is_bad_row`.
+    `knowledge.is_bad_row`. Without files there are no rows.
     """
-    df = spark.read.options(**_CSV).csv(path)
-    return resolve_log_columns(df.withColumns({"pos": input_position(), "source_file": F.col("_metadata.file_path")}))
-
-
-def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files under `path` grouped by their header line, found in one distributed pass."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"))
-    heads = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "row")).alias("header"))
-    groups: dict[str, list[str]] = defaultdict(list)
-    for r in heads.orderBy("file").toLocalIterator():  # one row per file, as in any file listing
-        groups[r["header"]].append(r["file"])
-    return dict(groups)
+    frames = []
+    for names, records in read_by_header(spark, path):
+        df = parsed(records, len(names)).withColumnRenamed("file", "source_file")
+        repeated = {n.lower() for n in names if sum(m.lower() == n.lower() for m in names) > 1}
+        # Spark's own names for columns that share one or have none.
+        named = [f"{n}{i}" if n.lower() in repeated else n or f"_c{i}" for i, n in enumerate(names)]
+        frames.append(resolve_log_columns(df.withColumnsRenamed({f"c{i}": n for i, n in enumerate(named)})))
+    if not frames:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["pos", "source_file", *LOG_ALIASES]))
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def _is_short(raw: Column, fields: int) -> Column:
@@ -83,22 +70,18 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """All catalogue CSV files under `path` as strings.
 
     Rows with more fields than the header are skipped, rows with fewer are filled up with nulls; columns that a
-    file lacks are null.
+    file lacks are null. Without files there are no rows and only the column `pos`.
     """
     frames = []
-    for header, files in files_by_header(spark, path).items():
-        named = [c.lstrip(BOM).strip() for c in next(csv.reader([header]))]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*named, "_raw"]])
-        df = spark.read.schema(schema).options(**_CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw").csv(files)
-        df = df.withColumn("pos", input_position()).where(F.col("_raw").isNull() | _is_short(F.col("_raw"), len(named)))
-        frames.append(df.drop("_raw"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    for names, records in read_by_header(spark, path):
+        df = parsed(records, len(names), corrupt=True).where(F.col("_raw").isNull() | _is_short(F.col("_raw"), len(names)))
+        frames.append(df.select("pos", *[F.col(f"c{i}").alias(n.strip()) for i, n in enumerate(names)]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else spark.createDataFrame([], "pos string")
 
 
 def read_icd_list(spark: SparkSession, path: str, columns: int = 24) -> DataFrame:
     """Headerless ICD CSV by position; rows without id or code, or shorter than the name column, are skipped."""
-    schema = ", ".join(f"c{i} string" for i in range(columns))
-    raw = spark.read.schema(schema).options(header="false", multiLine="true", escape='"').csv(path)
+    raw = parsed(read_csv_records(spark, path), columns)
     cols = {name: F.trim(f"c{i}") for name, i in ICD_POSITIONS.items()}
     out = raw.where(F.col("c16").isNotNull()).select(*[c.alias(n) for n, c in cols.items()])
     text = F.lower(F.trim(F.concat_ws(" ", "icd_code", "disease_name", "slug", "chapter_name")))
