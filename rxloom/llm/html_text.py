@@ -13,7 +13,8 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,35 +32,74 @@ RATE = 0.4
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript iframe svg math object textarea title head select datalist canvas audio video".split())
-INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small "
-                    "span strike strong sub sup time tt u var wbr").split())
+HIDDEN = frozenset("script style template noscript iframe object textarea title head select datalist canvas audio video".split())
+TO_THE_END = frozenset("script style textarea title".split())
+INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math meter output q rp rt ruby s samp small "
+                    "span strike strong sub sup svg time tt u var wbr").split())
 CLOSES_PARAGRAPH = frozenset(("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                               "header hgroup hr main menu nav ol p pre search section summary table ul").split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table tr tbody thead tfoot div article section main body select".split())
+NEUTRAL = frozenset(["html", "body", "div", "p", "span"])
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+# A quote delimits a value only directly after the equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PLAIN_WORD = re.compile(r"[a-z]+")
 
 
+class Path:
+    """A block element and those around it. Sets are shared with the parent where nothing is new, so deep nesting costs little."""
+
+    __slots__ = ("inside", "last", "marks", "nearest", "parent", "tag")
+
+    def __init__(self, tag: str, parent: Path | None = None, words: frozenset[str] = frozenset(), kept: frozenset[str] = frozenset()):
+        self.tag, self.parent = tag, parent
+        inside, marks = (parent.inside, parent.marks) if parent else (frozenset(), frozenset())
+        self.inside = inside if not parent or tag in inside else inside | {tag}
+        self.marks = marks if kept <= marks else marks | kept
+        self.nearest = words or (parent.nearest if parent else words)
+        self.last = parent.last if parent and tag in NEUTRAL else tag
+
+
 class Block:
     """A leaf block: its text and what its features need."""
 
-    __slots__ = ("linked", "marks", "nearest", "tags", "text")
+    __slots__ = ("linked", "path", "text")
+
+    def __init__(self, text: str, linked: int, path: Path):
+        self.text, self.linked, self.path = text, linked, path
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Block tags from the outermost down to this block."""
+        out, at = [], self.path
+        while at.parent:
+            out.append(at.tag)
+            at = at.parent
+        return tuple(out[::-1])
 
-    def __init__(self, text: str, linked: int, tags: tuple[str, ...], marks: frozenset[str], nearest: frozenset[str]):
-        self.text, self.linked, self.tags, self.marks, self.nearest = text, linked, tags, marks, nearest
+    @property
+    def marks(self) -> frozenset[str]:
+        return self.path.marks
 
+    @property
+    def nearest(self) -> frozenset[str]:
+        return self.path.nearest
 
-def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order, character references decoded and white space folded."""
+
+def blocks_of(page: str, known: Callable[[str], bool] | None = None) -> list[Block]:
+    """Leaf blocks in page order, character references decoded and white space folded.
+
+    Words of class and id are gathered from all ancestors; with `known`, only those it accepts. An element that is
+    hidden by its kind but never closed hides nothing, except script, style, textarea and title.
+    """
     out: list[Block] = []
-    none: frozenset[str] = frozenset()
-    # name, block tags down to here, words of class and id down to here, those of the nearest block that has any
-    stack: list[tuple[str, tuple[str, ...], frozenset[str], frozenset[str]]] = [("", (), none, none)]
+    # Open elements: name, and the block element that holds their text.
+    stack: list[tuple[str, Path]] = [("", Path(""))]
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     pieces: list[str] = []
     linked = 0
     in_link = 0
@@ -70,17 +110,20 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 # Inline elements are no part of a block's path: what counts is the block that holds the text.
-                out.append(Block(text, min(linked, len(text)), *stack[-1][1:]))
+                out.append(Block(text, min(linked, len(text)), stack[-1][1]))
             pieces.clear()
         linked = 0
 
     def pop_to(at: int) -> None:
         nonlocal in_link
-        for name, *_ in stack[at:]:
+        for name, _ in stack[at:]:
             in_link -= name == "a"
+            opened[name] -= 1
         del stack[at:]
 
     def find(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> int:
+        if not any(opened[name] for name in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 return i
@@ -106,7 +149,7 @@ def blocks_of(page: str) -> list[Block]:
             if name == "p" and not find({"p"}, frozenset(["div", "article", "section", "td"])):
                 close_block()
             elif i := find({name}):
-                if any(x[0] not in INLINE for x in stack[i:]):
+                if stack[-1][1] is not stack[i - 1][1]:
                     close_block()
                 pop_to(i)
             continue
@@ -118,14 +161,21 @@ def blocks_of(page: str) -> list[Block]:
                     continue
                 if page[at + 1] == "/":
                     at = ends.end()
-            elif not token.endswith("/>"):
+            elif not token.endswith("/>") and name not in unclosed:
                 ends = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = ends.end() if ends else len(page)
+                if ends:
+                    at = ends.end()
+                elif name in TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(name)  # nor is any later one closed
             continue
         if name == "br":
             pieces.append(" ")
             continue
-        if name not in INLINE:
+        # Formulas and drawings in a sentence don't split it, whatever their elements are called.
+        inline = name in INLINE or bool(opened["math"] or opened["svg"]) and name not in CLOSES_PARAGRAPH and name not in SIBLINGS
+        if not inline:
             close_block()
             if name in CLOSES_PARAGRAPH and (i := find({"p"}, frozenset(["div", "article", "section", "td", "li", "button"]))):
                 pop_to(i)
@@ -134,13 +184,12 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID or token.endswith("/>") and name not in ("p", "div", "a", "span"):
             continue
         in_link += name == "a"
-        _, tags, marks, nearest = stack[-1]
-        if name not in INLINE:
-            words = {w for m in MARKS.finditer(token) for w in PLAIN_WORD.findall((m.group(1) or m.group(2) or m.group(3) or "").lower())}
-            tags = (*tags, name)
-            if words:
-                marks, nearest = marks | words, frozenset(words)
-        stack.append((name, tags, marks, nearest))
+        opened[name] += 1
+        path = stack[-1][1]
+        if not inline:
+            words = frozenset(w for m in MARKS.finditer(token) for w in PLAIN_WORD.findall((m.group(1) or m.group(2) or m.group(3) or "").lower()))
+            path = Path(name, path, words, words if known is None else frozenset(filter(known, words)))
+        stack.append((name, path))
     close_block()
     return out
 
@@ -154,12 +203,12 @@ def features(blocks: list[Block]) -> list[list[str]]:
         words = b.text.count(" ") + 1
         size = min(words.bit_length(), 8)
         link = min(4, 4 * b.linked // len(b.text))
-        outer = [t for t in b.tags if t not in ("html", "body", "div", "p", "span")]
-        f = ["bias", f"size{size}", f"link{link}", f"tag:{b.tags[-1] if b.tags else ''}", f"end:{b.text[-1] in '.!?…。'}", f"size{size}link{link}"]
-        f += [f"in:{t}" for t in set(outer)]
-        f.append(f"last:{outer[-1] if outer else ''}")
-        inside = "article" if "article" in b.tags else "main" if "main" in b.tags else "none"
-        f += [f"{inside}&{t}" for t in set(outer) if t in ("header", "footer", "aside", "nav", "form", "h1", "h2", "h3", "li", "section")]
+        outer = b.path.inside - NEUTRAL
+        f = ["bias", f"size{size}", f"link{link}", f"tag:{b.path.tag}", f"end:{b.text[-1] in '.!?…。'}", f"size{size}link{link}"]
+        f += [f"in:{t}" for t in outer]
+        f.append(f"last:{b.path.last}")
+        inside = "article" if "article" in outer else "main" if "main" in outer else "none"
+        f += [f"{inside}&{t}" for t in outer if t in ("header", "footer", "aside", "nav", "form", "h1", "h2", "h3", "li", "section")]
         f += [f"mark:{m}" for m in b.marks]
         f += [f"near:{m}" for m in b.nearest]
         f += [f"part:{m[:4]}" for m in b.marks if len(m) > 4]
@@ -338,7 +387,10 @@ def sample_words(df: DataFrame, page: str, pages: int = SAMPLE_PAGES, chars: int
 
 
 def main_text(page: str, field: Field) -> str:
-    blocks = blocks_of(page)
+    def known(word: str) -> bool:
+        return f"mark:{word}" in field.weights or len(word) > 4 and f"part:{word[:4]}" in field.weights
+
+    blocks = blocks_of(page, known)
     return "\n".join(b.text for b, keep in zip(blocks, field.viterbi(features(blocks)), strict=True) if keep)
 
 

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,35 @@ def test_blocks_of_awkward_markup():
     assert texts("<script>never closed <p>x") == []
 
 
+def test_stray_quotes_and_unclosed_elements_lose_no_text():
+    def texts(page):
+        return [b.text for b in h.blocks_of(page)]
+
+    assert texts("<p title=it's>first paragraph</p><p>second</p><p>don't stop</p><p>end</p>") == ["first paragraph", "second", "don't stop", "end"]
+    assert texts("<p>x<img alt='Bob's house'>y</p><p>it's</p>") == ["xy", "it's"]
+    assert texts("<p a = 'x>y' b=\"it's\">in</p>") == ["in"]
+    for name in ("svg", "noscript", "select", "video", "object", "iframe", "template"):
+        assert texts(f"<p>a</p><{name}><p>b</p><{name}><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><noscript><p>hidden</p></noscript><p>b <math><mi>x</mi>+1</math> c</p>") == ["a", "b x+1 c"]
+    assert texts("<svg><title>no</title><style>p{}</style><text>label</text></svg>") == ["label"]
+
+
+def test_deep_nesting_is_linear(field):
+    depth = 60_000
+    page = "".join(f'<div class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}x">' for i in range(depth)) + "text" + "</b>" * depth
+    started = time.process_time()
+    tracemalloc.start()
+    assert h.main_text(page, field) in ("", "text")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and time.process_time() - started < 20
+    # What the field has no weight for makes no difference.
+    page = h.labelled_page(random.Random(5), WORDS)
+    blocks = h.blocks_of(page)
+    labels = field.viterbi(h.features(blocks))
+    assert h.main_text(page, field) == "\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
+
+
 def test_tags_and_marks_of_a_block():
     b = h.blocks_of('<div id="page" class="Wide-x"><aside class=side><p><span class="no">t <a href=x>l</a>')[0]
     assert b.tags == ("div", "aside", "p") and b.marks == {"page", "wide", "x", "side"} and b.nearest == {"side"} and b.linked == 1
