@@ -86,17 +86,17 @@ def code_frequency(rows: DataFrame, code: str, top: int = 30) -> DataFrame:
     return rows.where(F.col(code) != "").groupBy(code).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code).limit(top)
 
 
-def match_quality(predicted: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
-    """Accuracy and error rates of predicted(key, hit) against labels(key, truth), both 0/1."""
+def match_quality(predicted: DataFrame, labels: DataFrame, key: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy and error rates of predicted(key, hit) against labels(key, truth), both 0/1; a row per `by` of the predictions."""
     j = predicted.join(labels, key)
     hit, truth = F.col("hit") == 1, F.col("truth") == 1
-    c = j.agg(F.count("*").alias("n"), F.count_if(hit == truth).alias("right"), F.count_if(hit & ~truth).alias("fp"),
+    c = j.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit == truth).alias("right"), F.count_if(hit & ~truth).alias("fp"),
               F.count_if(~hit & truth).alias("fn"), F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
 
     def rate(a: str, b: str) -> Column:
         return F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
 
-    return c.select("n", rate("right", "n").alias("accuracy"), rate("fp", "neg").alias("false_positive_rate"),
+    return c.select(*by, "n", rate("right", "n").alias("accuracy"), rate("fp", "neg").alias("false_positive_rate"),
                     rate("fn", "pos").alias("false_negative_rate"))
 
 

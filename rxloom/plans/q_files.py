@@ -8,7 +8,7 @@ from rxloom.plans import domain as d
 from rxloom.plans.registry import query
 from rxloom.session import new_path
 from rxloom.schemas import SCHEMAS
-from rxloom.sources import files, tables
+from rxloom.sources import archive, files, tables
 from rxloom.sources.tables import SnapshotTable
 
 
@@ -71,11 +71,13 @@ def prescription_files(spark, sf):
 
 @query("raw_archive", "K1", "SELECT doc_id, 'b1' AS batch_id, md5(text || chr(10)) AS content FROM documents")
 def raw_archive(spark, sf):
-    inbox, archive = new_path(spark, "raw"), new_path(spark, "archive")
-    d.table(spark, sf, "documents").select("text", "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(inbox)
-    tables.append_archive(files.read_raw_batches(spark, f"{inbox}/*", F.lit("b1"), "inbox", d.now()).withColumn("file", F.col("_metadata.file_path")), archive)
-    back = spark.read.parquet(archive)
-    return back.select(F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "batch_id", F.md5("raw_content").alias("content"))
+    inbox, store = new_path(spark, "raw"), new_path(spark, "archive")
+    tables.write_json(d.table(spark, sf, "documents").select("doc_id", "text"), inbox)
+    tables.append_archive(archive.read_chunks(spark, inbox, F.lit("b1"), "inbox", d.now()), store)
+    back = archive.archived_lines(spark.read.parquet(store))
+    doc = F.from_json("line", "doc_id long, text string")
+    return back.select("batch_id", doc.alias("doc")).select(
+        "doc.doc_id", "batch_id", F.md5(F.concat("doc.text", F.lit("\n"))).alias("content"))
 
 
 @query("csv_log", "K2", "SELECT event_id, event_type, props FROM events")

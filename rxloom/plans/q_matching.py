@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rxloom.functions.text import normalize_text
-from rxloom.operators import consult, index, lookup, matching, ranking
+from rxloom.operators import consult, index, lookup, matching, quality, ranking
 from rxloom.plans import domain as d
 from rxloom.plans.q_functions import sql_compound, sql_mapping, sql_role, sql_valid_role
 from rxloom.plans.registry import query
+from rxloom.session import materialise
 
 QUERIES = f"""q AS (SELECT query, trim(query) AS raw, {d.sql_norm('query', 'claims')} AS norm
   FROM (SELECT DISTINCT name AS query FROM messy_names WHERE trim(name) <> ''))"""
@@ -103,6 +104,27 @@ def fuzzy_match_loose(spark, sf):
     return hits.select("query", "id", F.round("score", 6).alias("score"))
 
 
+@query("match_quality", "A16", d.ctes(*BASE, INDEXED, sql_fuzzy("q", "raw", 70), """
+pairs AS (SELECT DISTINCT name AS query, p_name FROM messy_names JOIN part ON p_partkey = item_id WHERE trim(name) <> ''),
+swept AS (SELECT t AS threshold, coalesce(fz.score >= t, false) AS hit, coalesce(x.name = p_name, false) AS truth
+  FROM pairs LEFT JOIN fz USING (query) LEFT JOIN indexed x ON x.id = fz.id, (SELECT unnest([70, 75, 80, 85, 90, 95]) AS t))""") + """
+SELECT threshold, count(*) AS n, round(avg((hit = truth)::INT), 6) AS accuracy,
+  round(count(*) FILTER (hit AND NOT truth) / greatest(count(*) FILTER (NOT truth), 1), 6) AS false_positive_rate,
+  round(count(*) FILTER (NOT hit AND truth) / greatest(count(*) FILTER (truth), 1), 6) AS false_negative_rate FROM swept GROUP BY 1""")
+def match_quality(spark, sf):
+    """Whether the best match of a spelling is the part it was made from, by the score asked for."""
+    names = _usable(spark, sf, True)
+    made = d.messy_names(spark, sf).join(d.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_name"), "item_id")
+    pairs = made.where("trim(name) <> ''").select(F.col("name").alias("query"), "p_name").distinct()
+    found = matching.fuzzy_hits(_queries(spark, sf), names, "raw", 70.0).join(names.select("id", F.col("name").alias("best")), "id")
+    scored = materialise(pairs.join(found.select("query", "best", "score"), "query", "left"), "scored")
+    key = ["query", "p_name"]
+    swept = scored.withColumn("threshold", F.explode(F.lit([70, 75, 80, 85, 90, 95]))).select(
+        *key, "threshold", (F.coalesce("score", F.lit(0.0)) >= F.col("threshold")).cast("int").alias("hit"))
+    truth = scored.select(*key, F.coalesce(F.col("best") == F.col("p_name"), F.lit(False)).cast("int").alias("truth"))
+    return quality.match_quality(swept, truth, key, ("threshold",))
+
+
 @query("cosine_match", "J4", d.ctes(*BASE, INDEXED, sql_cosine("q", "norm", ">", 0.75)) + " SELECT query, id, round(score, 6) AS score FROM cz")
 def cosine_match(spark, sf):
     hits = matching.cosine_hits(_queries(spark, sf), _usable(spark, sf, True), "norm", matching.CLAIM_RULES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rxloom.functions.fields import token_cost
-from rxloom.operators import monitor, quality, ranking
+from rxloom.operators import monitor, ranking
 from rxloom.plans import domain as d
 from rxloom.plans.registry import query
 
@@ -80,14 +80,6 @@ def token_usage(spark, sf):
     return monitor.token_usage_summary(usage)
 
 
-@query("match_quality", "A16", """
-SELECT count(*) AS n, round(avg((quality = toxic)::INT), 6) AS accuracy, round(count(*) FILTER (quality = 1 AND toxic = 0) / greatest(count(*) FILTER (toxic = 0), 1), 6) AS false_positive_rate,
-  round(count(*) FILTER (quality = 0 AND toxic = 1) / greatest(count(*) FILTER (toxic = 1), 1), 6) AS false_negative_rate FROM labels""")
-def match_quality(spark, sf):
-    lab = d.table(spark, sf, "labels")
-    return quality.match_quality(lab.select("doc_id", F.col("quality").alias("hit")), lab.select("doc_id", F.col("toxic").alias("truth")), ["doc_id"])
-
-
 @query("link_union", "U4", """
 WITH a AS (SELECT url, 0 AS frame, page_id AS pos FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1, page_id FROM pages UNION ALL SELECT split_part(url, '?', 1), 2, page_id FROM pages)
 SELECT url, frame, pos FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY frame, pos) = 1 ORDER BY frame, pos, url LIMIT 40""")
