@@ -225,3 +225,36 @@ def substring_first(queries: DataFrame, names: DataFrame) -> DataFrame:
         .agg(F.min("id").alias("id"))
     )
     return short_hits.select("needle", "id").unionByName(long_hits.select("needle", "id"))
+
+
+def like_first(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """For each pattern `needle`, the smallest `id` among `names(name, id)` that have it somewhere, % and _ being wildcards.
+
+    A pattern's literal pieces must all occur, so it meets the postings of the rarest gram of its pieces: of three
+    characters, or of as many as its longest piece has. The pattern is checked on those names only. Patterns of wildcards
+    alone ask for a least length, which a table of the smallest id by length answers. A backslash makes the next
+    character literal.
+    """
+    ids = names.groupBy("name").agg(F.min("id").alias("id"))
+
+    def grams_of(text: Column, q: Column | int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda p: text.substr(p, F.lit(q) if isinstance(q, int) else q))
+
+    patterns = queries.select("needle").distinct()
+    pieces = F.filter(F.split("needle", r"[%_\\]"), lambda x: x != "")
+    cut = patterns.withColumn("pieces", pieces).withColumn(
+        "q", F.least(F.lit(3), F.coalesce(F.array_max(F.transform("pieces", F.length)), F.lit(0))))
+    literal = cut.where("q > 0")
+    long_enough = F.filter("pieces", lambda x: F.length(x) >= F.col("q"))
+    grams = literal.select("needle", F.explode(F.array_distinct(F.flatten(F.transform(long_enough, lambda x: grams_of(x, F.col("q")))))).alias("gram"))
+    of_name = [F.when(F.length("name") >= q, grams_of(F.col("name"), q)).otherwise(F.array().cast("array<string>")) for q in (1, 2, 3)]
+    postings = ids.select("id", "name", F.explode(F.array_distinct(F.concat(*of_name))).alias("gram"))
+    sizes = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(sizes, "gram", "left").groupBy("needle").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent")).where("absent = 0")
+    hits = rarest.join(postings, "gram").where(F.like("name", F.concat(F.lit("%"), F.col("needle"), F.lit("%"))))
+    found = hits.groupBy("needle").agg(F.min("id").alias("id"))
+    lengths = ids.groupBy(F.length("name").alias("chars")).agg(F.min("id").alias("id"))
+    least = lengths.select("id", F.explode(F.sequence(F.lit(0), F.col("chars"))).alias("chars")).groupBy("chars").agg(F.min("id").alias("id"))
+    bare = cut.where("q = 0").select("needle", F.length(F.regexp_replace("needle", "%", "")).alias("chars"))
+    return found.unionByName(bare.join(least, "chars").select("needle", "id"))

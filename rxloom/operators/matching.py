@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rxloom.functions.similarity import token_sort
 from rxloom.functions.text import normalize_for_matching, query_variants
-from rxloom.operators.candidates import best_pairs, substring_first
+from rxloom.operators.candidates import best_pairs, like_first, substring_first
 from rxloom.operators.index import best_per_query, bm25_best, build_bm25, build_tfidf, cosine_pairs
 from rxloom.operators.stored_index import CatalogueIndex
 from rxloom.session import materialise
@@ -66,15 +66,11 @@ def exact_hits(queries: DataFrame, names: DataFrame, probe: str) -> DataFrame:
 def partial_hits(queries: DataFrame, names: DataFrame, probe: str, like: bool = False) -> DataFrame:
     """Name contains the probe, ASCII case ignored; smallest id. Empty probes match nothing.
 
-    `like` honours % and _ in the probe as wildcards. It has no gram to join on, so it
-    is a nested-loop join meant for a handful of patterns.
+    `like` honours % and _ in the probe as wildcards.
     """
     low = names.select(F.lower("name").alias("name"), "id")
     keyed = queries.withColumn("needle", F.lower(probe)).where("needle != ''")
-    if like:
-        joined = keyed.join(low, F.like("name", F.concat(F.lit("%"), F.col("needle"), F.lit("%"))))
-        return joined.groupBy("query").agg(F.min("id").alias("id"))
-    hits = substring_first(keyed, low)
+    hits = like_first(keyed, low) if like else substring_first(keyed, low)
     return keyed.join(hits, "needle").select("query", "id")
 
 

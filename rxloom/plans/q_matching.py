@@ -92,6 +92,20 @@ def substring_match(spark, sf):
         matching.partial_hits(short, names, "query"))
 
 
+@query("like_match", "J2", d.ctes(*BASE, """
+pats AS (SELECT DISTINCT substring(p_name, 1, 3) || '%' || right(p_name, 3) AS query FROM part
+  UNION SELECT DISTINCT substring(p_name, 2, 2) || '_' || substring(p_name, 5, 2) || '%' || substring(p_brand, 1, 1) FROM part
+  UNION SELECT DISTINCT substring(p_name, 2, 3) || '_' || substring(p_name, 6, 2) FROM part)""") + """
+SELECT query, min(id) AS id FROM pats JOIN verified ON lower(ten_thuoc) LIKE '%' || lower(query) || '%' GROUP BY 1""")
+def like_match(spark, sf):
+    p = d.table(spark, sf, "part")
+    sub = lambda c, a, n: F.substring(c, a, n)
+    patterns = p.select(F.concat(sub("p_name", 1, 3), F.lit("%"), F.expr("right(p_name, 3)")).alias("query")).union(
+        p.select(F.concat(sub("p_name", 2, 2), F.lit("_"), sub("p_name", 5, 2), F.lit("%"), sub("p_brand", 1, 1)))).union(
+        p.select(F.concat(sub("p_name", 2, 3), F.lit("_"), sub("p_name", 6, 2)))).distinct()
+    return matching.partial_hits(patterns, _usable(spark, sf), "query", like=True)
+
+
 @query("fuzzy_match", "J3 F31", d.ctes(*BASE, INDEXED, sql_fuzzy("q", "raw", 85)) + " SELECT query, id, round(score, 6) AS score FROM fz")
 def fuzzy_match(spark, sf):
     hits = matching.fuzzy_hits(_queries(spark, sf), _usable(spark, sf, True), "raw", 85.0)

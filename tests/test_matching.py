@@ -243,6 +243,21 @@ def test_consult_precedence(spark):
         "6": ("secondary drug", "valid", "INTERNAL_KB_AI")}
 
 
+def test_like_patterns_equal_brute_force(spark):
+    rng = random.Random(9)
+    names = random_names(10, 300, "abcdé %_", 1, 9)
+    patterns = {"%", "_", "____", "%%", "zzz", "a%", "_b", "\\%", "a\\_b", "é"}
+    for n in rng.sample(names, 60):
+        patterns.add("".join(rng.choice(["%", "_", c, c, c]) for c in n.replace("_", "a").replace("%", "b")))
+    q = spark.createDataFrame([(p,) for p in sorted(patterns)], "needle string")
+    table = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, id int")
+    got = cand.like_first(q, table)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    want = q.crossJoin(table).where("name LIKE concat('%', needle, '%')").groupBy("needle").agg(F.min("id").alias("id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 20
+
+
 def test_partial_like_mode(spark):
     names = spark.createDataFrame([("vitamin b1", 1), ("vitamin c", 2)], "name string, id long")
     q = spark.createDataFrame([("x", "vit%c"), ("y", "")], "query string, raw string")
