@@ -12,32 +12,32 @@ from rxloom.session import materialise
 
 CHUNK_BYTES = 1 << 20
 BOM = b"\xef\xbb\xbf"  # left out by the reader
-CHUNK_DDL = "file string, file_bytes long, block long, chunk int, content binary, n_bytes long"
+CHUNK_DDL = "file string, file_bytes long, block long, chunk int, content binary, inner long, n_bytes long"
 
 
 def chunk_lines(size: int):
     """A function for mapInArrow: lines of each byte range -> chunks of whole lines, of at most `size` bytes or one line."""
     schema = pa.schema([("file", pa.string()), ("file_bytes", pa.int64()), ("block", pa.int64()), ("chunk", pa.int32()),
-                        ("content", pa.binary()), ("n_bytes", pa.int64())])
+                        ("content", pa.binary()), ("inner", pa.int64()), ("n_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple | None = None
         lines: list[bytes] = []
-        held = chunk = 0
+        held = chunk = inner = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, chunk
+            nonlocal held, chunk, inner
             if lines:
-                row = (*here, chunk, b"".join(lines), held)
+                row = (*here, chunk, b"".join(lines), inner, held)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
                 lines.clear()
-                held, chunk = 0, chunk + 1
+                held, chunk, inner = 0, chunk + 1, inner + held
 
         for b in batches:
             for file, file_bytes, block, line in zip(*(b.column(c).to_pylist() for c in ("file", "file_bytes", "block", "value")), strict=True):
                 if (file, file_bytes, block) != here:
                     yield from close()
-                    here, chunk = (file, file_bytes, block), 0
+                    here, chunk, inner = (file, file_bytes, block), 0, 0
                 elif held + len(line) >= size:
                     yield from close()
                 lines += (line, b"\n")
@@ -58,20 +58,20 @@ def read_chunks(spark: SparkSession, path: str, batch_id: Column, source: str, n
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_bytes"),
         F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     chunks = materialise(lines.mapInArrow(chunk_lines(size), CHUNK_DDL), "raw-chunks")
-    at = F.struct("block", "chunk")
     # A line break too many was added if the file does not end in one; a byte-order mark is missing from the first chunk.
-    files = chunks.groupBy("file").agg((F.max("file_bytes") - F.sum("n_bytes")).alias("off"), F.min(at).alias("first"), F.max(at).alias("last"))
-    marked = F.col("off") >= 2
-    added = F.col("off").isin(-1, 2)
-    # The places are counted over rows without content.
-    mend = F.when((at == F.col("first")) & marked, 3).otherwise(0) - F.when((at == F.col("last")) & added, 1).otherwise(0)
-    sized = chunks.select("file", "block", "chunk", "n_bytes").join(files, "file").withColumn("bytes", F.col("n_bytes") + mend)
-    before = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    places = sized.select("file", "block", "chunk", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"),
-                          ((at == F.col("first")) & marked).alias("marked"), ((at == F.col("last")) & added).alias("added"))
-    content = F.when(F.col("added"), F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(F.col("content"))
-    content = F.when(F.col("marked"), F.concat(F.lit(BOM), content)).otherwise(content)
-    whole = chunks.join(places, ["file", "block", "chunk"]).select("file", "file_bytes", "offset", content.alias("content"))
+    # Places are settled per byte range and stored, so that the join's choice goes by their true size.
+    file, order = Window.partitionBy("file"), Window.partitionBy("file").orderBy("block")
+    ranges = chunks.groupBy("file", "block").agg(F.sum("n_bytes").alias("n"), F.max("chunk").alias("top"), F.max("file_bytes").alias("size"))
+    places = materialise(ranges.withColumn("off", F.col("size") - F.sum("n").over(file)).select(
+        "file", "block", "top", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        (F.col("off") >= 2).alias("marked"), F.col("off").isin(-1, 2).alias("added"),
+        (F.col("block") == F.min("block").over(file)).alias("first"), (F.col("block") == F.max("block").over(file)).alias("last")), "chunk-places")
+    head = F.col("first") & (F.col("chunk") == 0)
+    content = F.when(F.col("added") & F.col("last") & (F.col("chunk") == F.col("top")), F.expr("substring(content, 1, octet_length(content) - 1)"))
+    content = F.coalesce(content, F.col("content"))
+    content = F.when(F.col("marked") & head, F.concat(F.lit(BOM), content)).otherwise(content)
+    offset = F.col("start") + F.col("inner") + F.when(F.col("marked") & ~head, len(BOM)).otherwise(0)
+    whole = chunks.join(places, ["file", "block"]).select("file", "file_bytes", offset.alias("offset"), content.alias("content"))
     return whole.select(
         batch_id.alias("batch_id"), "file", "file_bytes", "offset", "content", F.sha2("content", 256).alias("digest"),
         F.lit(source).alias("source_ip"), now.alias("created_at"))
