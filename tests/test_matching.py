@@ -281,3 +281,69 @@ def test_keep_nonempty_option(spark):
     plain = knowledge.fold_log(rows, F.current_timestamp()).first()
     kept = knowledge.fold_log(rows, F.current_timestamp(), keep_nonempty=True).first()
     assert (plain.tdv_feedback, kept.tdv_feedback, plain.symptom) == ("[]", '["drug", "invalid"]', "s")
+
+
+def test_reconcile_gives_the_same_for_requests_of_any_size(spark, monkeypatch):
+    rnd = random.Random(12)
+    names = ["alpha one", "alpha onf", "bravo two", "two bravo", "charlie", "chxrlie", "", "zzz"]
+    rows = [(rnd.choice([1, 2, 3, 4, None]), rnd.randint(0, 9), rnd.choice(names), float(rnd.randint(0, 9))) for _ in range(90)]
+    claims = {(r, k): (r, f"c{k % 8}", k, n, a) for r, k, n, a in rows[:45]}  # of c0 and c1 there may be two
+    meds = {(r, k): (r, f"m{k % 8}", k, n, a) for r, k, n, a in rows[45:]}
+    c = spark.createDataFrame([*claims.values(), *list(claims.values())[:3]], "request_id long, claim_id string, pos int, service string, amount double")
+    m = spark.createDataFrame([*meds.values(), *list(meds.values())[:3]], "request_id long, medicine_id string, pos int, service string, amount double")
+    drugs = spark.createDataFrame([(1, "alpha one", "V1", "s", 1, "alpha one", ""), (2, "bravo two", "V2", "s", 1, "bravo two", "")], DRUGS)
+
+    def tables():
+        out = reconcile.reconcile(c, m, drugs)
+        flags = reconcile.fraud_flags(c, m, out.unsettled, settled=out.settled)
+        return [sorted(map(str, df.collect())) for df in (out.pairs, out.anomalies, out.summary, flags)]
+
+    monkeypatch.setattr(reconcile, "ROW_ITEMS", 0)
+    spread = tables()
+    monkeypatch.setattr(reconcile, "ROW_ITEMS", 1000)
+    assert tables() == spread and all(spread)
+
+
+def test_reconcile_exchanges_items_of_small_requests_once(spark):
+    items = spark.range(50).selectExpr("id % 5 AS request_id", "concat('x', id) AS claim_id", "id AS pos", "'a b' AS service", "1.0D AS amount")
+    info = spark.createDataFrame([("a b", "a b", None, None, None, None, None, "NO_MATCH")],
+                                 "query string, norm string, db_name string, db_norm string, db_sdk string, db_ingredient string, db_confidence double, db_method string")
+    rows = reconcile.settle_requests(items, items.withColumnRenamed("claim_id", "medicine_id"), info)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(request_id") == 1 and rows.where("kind = 'pair' AND med IS NOT NULL").count() == 50
+
+
+def test_pairs_of_small_and_large_blocks_agree(spark, monkeypatch):
+    names = random_names(15, 60, high=12)
+    left = spark.createDataFrame([(i % 3, x) for i, x in enumerate(names)], "k int, l string")
+    right = spark.createDataFrame([(min(i % 4, 2), x) for i, x in enumerate(names)], "k int, r string")
+    got = []
+    for most in (0, 300, 100_000):
+        monkeypatch.setattr(cand, "BLOCK_PAIRS", most)
+        got.append(sorted(map(tuple, fuzzy_pairs(left, right, "l", "r", 60.0, ["k"]).collect())))
+    assert got[0] == got[1] == got[2] and got[0]
+    monkeypatch.undo()
+    assert "gram" not in candidate_pairs(left, right, "l", "r", 60.0, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fulltext_joins_documents_without_exchanging_pairs(spark):
+    docs = spark.createDataFrame([(1, "red ring"), (2, "red ringer ring"), (3, "blue ring"), (None, "red ring")], "id long, t string")
+    queries = spark.createDataFrame([("ri re", "ri re"), ("ring", "ring"), ("no", "no")], "query string, text string")
+    fields = index.build_fields(docs, {"a": F.col("t")})
+    hits = index.search_all_terms(queries, fields)
+    assert sorted((r.query, r.id, r.score) for r in hits.collect()) == [
+        ("ri re", 1, 2.0), ("ri re", 2, 3.0), ("ring", 1, 1.0), ("ring", 2, 2.0), ("ring", 3, 1.0)]
+    assert sorted((r.query, r.id) for r in index.search_all_terms(queries, fields, False).collect()) == [("ring", 1), ("ring", 2), ("ring", 3)]
+    assert "Exchange hashpartitioning(query" not in hits.where("id = 1")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_nested_links_equal_the_links_brought_together(spark):
+    kb = spark.createDataFrame([(f"drug {i}", f"a{i % 2}", "d", "main" if i % 3 else None, i) for i in range(14)],
+                               "drug_name_norm string, disease_icd string, disease_name_norm string, treatment_type string, frequency long")
+    requests = spark.createDataFrame([(1, ["x", "y"], ["a0"]), (1, ["z"], ["a1", "none"]), (2, ["x"], ["none"]), (3, [], ["a0"]), (4, None, ["a0"])],
+                                     "request_id long, sdks array<string>, icds array<string>")
+    flat = lookup.verified_links(requests, kb)
+    cols = [c for c in flat.columns if c != "request_id"]
+    want = flat.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("links"))
+    got = lookup.verified_links(requests, kb, nested=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 1
