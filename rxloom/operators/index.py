@@ -255,22 +255,21 @@ def field_postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 @dataclass
 class FieldIndex:
-    """`terms(term, df, idf)`, `postings(term, id)` and `vectors(id, entries)`, entries being (term, weight, idf) of one document."""
+    """`terms(term, df, idf)` and `vectors(id, entries)`, entries being (term, weight, idf) of one document."""
 
     terms: DataFrame
-    postings: DataFrame
     vectors: DataFrame
 
 
 def build_fields(docs: DataFrame, fields: dict[str, Column]) -> FieldIndex:
-    """Index of `docs(id, ...)`. Terms and postings are stored sorted in ranges of terms, so a term or a prefix is one range."""
+    """Index of `docs(id, ...)`: its dictionary, sorted in ranges of terms, and each document's own terms."""
     rows = materialise(field_postings(docs, fields), "fields")
     n = docs.agg(F.count("*")).scalar()
     counted = rows.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = materialise(counted.withColumn("idf", idf).sort("term"), "terms")
     vectors = rows.join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("term", "weight", "idf")).alias("entries"))
-    return FieldIndex(terms, materialise(rows.select("term", "id").sort("term", "id"), "postings"), materialise(vectors, "vectors"))
+    return FieldIndex(terms, materialise(vectors, "vectors"))
 
 
 def expand_prefixes(tokens: DataFrame, terms: DataFrame) -> DataFrame:
@@ -284,8 +283,8 @@ def expand_prefixes(tokens: DataFrame, terms: DataFrame) -> DataFrame:
 def search_all_terms(queries: DataFrame, index: FieldIndex, prefix: bool = True, ranked: bool = False) -> DataFrame:
     """(query, id, score) of documents holding every token of `queries(query, text)`.
 
-    Tokens match as prefixes (default) or whole terms. Candidates are the postings of each query's least frequent token; each
-    is checked once, inside its row, against the document's own terms. The score sums the field weights of the terms that
+    Tokens match as prefixes (default) or whole terms. A document meets the queries whose least frequent token one of its terms
+    matches, and each is checked once, inside the document's row, against its own terms; so no pair is exchanged. The score sums the field weights of the terms that
     tokens match; `ranked` multiplies each by the term's idf.
     """
     tokens = queries.select("query", F.explode(F.array_distinct(space_tokens("text"))).alias("token"))
@@ -295,7 +294,8 @@ def search_all_terms(queries: DataFrame, index: FieldIndex, prefix: bool = True,
     rare = tokens.join(spread, "token", "left").groupBy("query").agg(
         F.min_by("token", F.struct("df", "token")).alias("token"), F.count_if(F.col("df").isNull()).alias("absent"), F.collect_set("token").alias("tokens"))
     rare = rare.where("absent = 0").select("query", "token", "tokens")
-    candidates = rare.join(expanded.select("token", "term"), "token").join(index.postings, "term").select("query", "tokens", "id").distinct()
+    wanted = rare.join(expanded.select("token", "term"), "token")
+    documents = index.vectors.where("id IS NOT NULL").select("id", "entries", F.explode("entries.term").alias("term"))
 
     def fits(entry: Column, token: Column) -> Column:
         return F.startswith(entry["term"], token) if prefix else entry["term"] == token
@@ -304,6 +304,9 @@ def search_all_terms(queries: DataFrame, index: FieldIndex, prefix: bool = True,
         own = F.filter("entries", lambda e: fits(e, token))
         return F.aggregate(own, F.lit(0.0), lambda total, e: total + (e["weight"] * e["idf"] if ranked else e["weight"]))
 
-    found = candidates.join(index.vectors, "id").where(F.forall("tokens", lambda t: F.exists("entries", lambda e: fits(e, t))))
+    met = documents.join(wanted, "term")
+    if prefix:  # several terms of a document may begin with the token
+        met = met.where(F.col("term") == F.array_min(F.filter("entries.term", lambda t: F.startswith(t, F.col("token")))))
+    found = met.where(F.forall("tokens", lambda t: F.exists("entries", lambda e: fits(e, t))))
     score = F.aggregate("tokens", F.lit(0.0), lambda total, t: total + gain(t))
     return found.select("query", "id", F.round(score, 9).alias("score"))
