@@ -65,14 +65,23 @@ def find_diseases(queries: DataFrame, kb: DataFrame) -> DataFrame:
         F.when(best.isNotNull(), "KnowledgeBase").otherwise("Not Found").alias("source"))
 
 
-def verified_links(requests: DataFrame, kb: DataFrame, per_code: int = 5) -> DataFrame:
+def verified_links(requests: DataFrame, kb: DataFrame, per_code: int = 5, nested: bool = False) -> DataFrame:
     """Every number of a request with the top knowledge-base rows of every code of that request.
 
-    requests(request_id, sdks array, icds array); numbers are carried along, not matched.
+    requests(request_id, sdks array, icds array); numbers are carried along, not matched. `nested` gives one row per request
+    with its `links` in order: the requests are brought together before they meet the rows of their codes.
     """
     top = top_per_key(kb, ["disease_icd"], [F.desc("frequency"), F.col("drug_name_norm")], per_code).select(
         F.col("disease_icd").alias("icd_code"), F.col("drug_name_norm").alias("drug_name"),
         F.col("disease_name_norm").alias("disease_name"), "frequency", "treatment_type")
+    if nested:
+        given = [F.coalesce("treatment_type", F.lit("supportive")).alias("classification"), F.coalesce("frequency", F.lit(1)).alias("frequency"), F.lit(True).alias("verified")]
+        lists = top.groupBy("icd_code").agg(F.collect_list(F.struct("drug_name", "disease_name", *given)).alias("top"))
+        codes = requests.repartition("request_id").select("request_id", "sdks", F.explode("icds").alias("icd_code")).join(lists, "icd_code")
+        fields = ["drug_name", "disease_name", "classification", "frequency", "verified"]
+        rows = F.flatten(F.transform("sdks", lambda s: F.transform(
+            "top", lambda r: F.struct(s.alias("sdk"), F.col("icd_code").alias("icd_code"), *[r[c].alias(c) for c in fields]))))
+        return codes.select("request_id", rows.alias("rows")).groupBy("request_id").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("links")).where("size(links) > 0")
     codes = requests.select("request_id", "sdks", F.explode("icds").alias("icd_code"))
     return codes.join(top, "icd_code").select(
         "request_id", F.explode("sdks").alias("sdk"), "icd_code", "drug_name", "disease_name",
@@ -81,7 +90,7 @@ def verified_links(requests: DataFrame, kb: DataFrame, per_code: int = 5) -> Dat
 
 
 def treatment_report(identified: DataFrame, diseases: DataFrame, links: DataFrame) -> DataFrame:
-    """One nested record per request from its drugs, diseases and links (each with request_id).
+    """One nested record per request from its drugs, diseases and links (each with request_id; links may be nested already).
 
     The record holds one request's own lists, which is what the report is.
     """
@@ -89,5 +98,5 @@ def treatment_report(identified: DataFrame, diseases: DataFrame, links: DataFram
         cols = [c for c in df.columns if c != "request_id"]
         return df.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(out))
 
-    return nest(identified, "drugs").join(nest(diseases, "diseases"), "request_id", "full").join(
-        nest(links, "links"), "request_id", "full")
+    linked = links if links.columns == ["request_id", "links"] else nest(links, "links")
+    return nest(identified, "drugs").join(nest(diseases, "diseases"), "request_id", "full").join(linked, "request_id", "full")

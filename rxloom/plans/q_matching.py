@@ -358,7 +358,7 @@ def treatment_analysis(spark, sf):
     drugs = reqs.select("request_id", F.get("sdks", F.lit(0)).alias("sdk"))
     found = lookup.find_diseases(
         reqs.select(F.col("request_id").alias("query_id"), F.get("icds", F.lit(0)).alias("icd"), F.lit("").alias("name")), kb)
-    report = lookup.treatment_report(drugs, found.withColumnRenamed("query_id", "request_id"), lookup.verified_links(reqs, kb))
+    report = lookup.treatment_report(drugs, found.withColumnRenamed("query_id", "request_id"), lookup.verified_links(reqs, kb, nested=True))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     return report.select("request_id", size("drugs").alias("n_drugs"), size("diseases").alias("n_diseases"),
                          F.when(F.col("links").isNull(), 0).otherwise(F.size("links")).alias("n_links"))
