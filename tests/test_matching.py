@@ -291,6 +291,8 @@ def test_reconcile_gives_the_same_for_requests_of_any_size(spark, monkeypatch):
     meds = {(r, k): (r, f"m{k % 8}", k, n, a) for r, k, n, a in rows[45:]}
     c = spark.createDataFrame([*claims.values(), *list(claims.values())[:3]], "request_id long, claim_id string, pos int, service string, amount double")
     m = spark.createDataFrame([*meds.values(), *list(meds.values())[:3]], "request_id long, medicine_id string, pos int, service string, amount double")
+    m = m.unionByName(spark.createDataFrame([(7, None, None, "bravo twoo", 1.0), (7, "m1", 1, "bravo tw", 1.0)], m.schema))
+    c = c.unionByName(spark.createDataFrame([(7, "c1", 1, "bravo twooo", 1.0)], c.schema))  # its nearest purchase has no place
     drugs = spark.createDataFrame([(1, "alpha one", "V1", "s", 1, "alpha one", ""), (2, "bravo two", "V2", "s", 1, "bravo two", "")], DRUGS)
 
     def tables():
