@@ -18,6 +18,8 @@ from rxloom.session import materialise
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 #: Postings in a block, levels per factor of two in gain, the last level; blocks read and documents scored for the lower bound.
 BLOCK, LEVELS_PER_HALVING, LEAST_LEVEL, FIRST_BLOCKS, FIRST = 128, 4, 31, 8, 4
+#: Tasks that the rows of a cosine join are dealt to, at most as many as shuffles have.
+TASKS_PER_CORE = 4
 FIELD_WEIGHTS = {"a": 1.0, "b": 0.4, "c": 0.2, "d": 0.1}
 _EPS = 1e-9
 
@@ -96,22 +98,36 @@ def build_tfidf(corpus: DataFrame, max_ngram: int = 1, store: bool = True) -> Tf
     return tfidf_of(terms, df, docs.agg(F.sum("copies")).scalar(), max_ngram, store)
 
 
+def _vector_rows(vectors: DataFrame, key: str, low: float, parts: int) -> DataFrame:
+    """One row per `key` and `term` of its vector that may be a pair's rarest shared one, with the `rest` there.
+
+    `before` holds the rarer terms, `entries` this one and the more frequent ones as (rest, term, w).
+    """
+    whole = vectors.where(F.col(key).isNotNull()).repartition(parts, key).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("rest", "term", "w")), asc=False).alias("all"))
+    rows = whole.select(key, "all", F.posexplode(F.filter("all", lambda e: e["rest"] >= low)).alias("pos", "e"))
+    return rows.select(key, F.col("e.term").alias("term"), F.col("e.rest").alias("rest"), F.slice("all.term", 1, F.col("pos")).alias("before"),
+                       F.slice("all", F.col("pos") + 1, F.size("all")).alias("entries"))
+
+
 def cosine_pairs(queries: DataFrame, index: TfidfIndex, threshold: float) -> DataFrame:
-    """(query, id, score) for all pairs with cosine >= `threshold`; `queries(query, text)`."""
+    """(query, id, score) for all pairs with cosine >= `threshold`; `queries(query, text)`.
+
+    A pair is settled in the row where its rarest shared term meets, from both vectors, so no pair is exchanged or held. Where that
+    term cannot reach the threshold, no other can. Few narrow rows meet many, which their size does not tell: they are dealt to a few
+    tasks per core.
+    """
+    spark = queries.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     terms = _term_counts(queries, ["query"], word_tokens("text", index.max_ngram))
-    q = unit_vectors(terms, index.idf, "query")
-    d = index.vectors
     low = threshold - _EPS
-    qp = q.where(F.col("rest") >= low).select("query", "term", F.col("rest").alias("q_rest"))
-    dp = d.where(F.col("rest") >= low).select("id", "term", F.col("rest").alias("d_rest"))
-    candidates = qp.join(dp, "term").where(F.col("q_rest") * F.col("d_rest") >= low).select("query", "id").distinct()
-    return (
-        candidates.join(q.select("query", "term", F.col("w").alias("qw")), "query")
-        .join(d.select("id", "term", F.col("w").alias("dw")), ["id", "term"])
-        .groupBy("query", "id")
-        .agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score"))
-        .where(F.col("score") >= threshold)
-    )
+    q = _vector_rows(unit_vectors(terms, index.idf, "query"), "query", low, parts).repartition(parts, "query", "term")
+    weights = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["term"], e["w"])))
+    q = q.select("query", "term", F.col("rest").alias("q_rest"), F.array_append("before", F.col("term")).alias("q_upto"), weights.alias("q_weights"))
+    d = _vector_rows(index.vectors, "id", low, parts).withColumnsRenamed({"rest": "d_rest", "before": "d_before", "entries": "d_entries"})
+    met = q.join(d, "term").where((F.col("q_rest") * F.col("d_rest") >= low) & ~F.arrays_overlap("q_upto", "d_before"))
+    score = F.aggregate("d_entries", F.lit(0.0), lambda total, e: total + F.coalesce(F.col("q_weights")[e["term"]], F.lit(0.0)) * e["w"])
+    return met.select("query", "id", F.round(score, 9).alias("score")).where(F.col("score") >= threshold)
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -88,6 +89,26 @@ def test_cosine_equals_brute_force(spark):
         assert got == want
 
 
+def test_cosine_pairs_are_settled_where_they_meet(spark):
+    texts = [f"w{i % 7} v{i % 11} u{i % 5}" for i in range(400)]
+    rows = [(i % 390, x) for i, x in enumerate(texts)] + [(None, "w1 v1 only"), (3, "w3 w3 v9 other")]
+    built = index.build_tfidf(spark.createDataFrame(rows, "id long, text string"))
+    queries = spark.createDataFrame([(f"q{i}", f"v{i % 11} w{i % 7} x") for i in range(60)] + [(None, "w1 v1")], "query string, text string")
+    q, d = {}, {}
+    words = queries.select("query", F.explode(F.split("text", " ")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("tf"))
+    for r in index.unit_vectors(words, built.idf, "query").where("query IS NOT NULL").collect():
+        q.setdefault(r.query, {})[r.term] = r.w
+    for r in built.vectors.where("id IS NOT NULL").collect():
+        d.setdefault(r.id, []).append((r.term, r.w))
+    scores = {(a, b): sum(x.get(t, 0.0) * w for t, w in y) for a, x in q.items() for b, y in d.items()}
+    pairs = index.cosine_pairs(queries, built, 0.6)
+    got = [(r.query, r.id, round(r.score, 6)) for r in pairs.collect()]
+    assert sorted(got) == sorted((a, b, round(s, 6)) for (a, b), s in scores.items() if s >= 0.6) and got
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 1
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((query#\d+L?, id#|id#\d+L?, (query|term)#)", plan)
+
+
 def test_bm25_equals_brute_force(spark):
     docs = random_names(9, 60, "ab cd ", 3, 16)
     queries = random_names(10, 30, "ab cd ", 3, 16)
